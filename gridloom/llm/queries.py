@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from gridloom.llm.shared import shared_dir
+from gridloom.llm.token_files import read_token_files, write_token_files
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,18 @@ WITH w AS (
 SELECT {columns} FROM r {where}"""
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens"
+    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokenizer_path())
+    return read_token_files(spark, folder)
+
+
+QUERIES = {"op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
 
 ORACLE_SQL = {"op8_quality_rules": _quality_sql()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.decontaminate import find_contamination, n_hit
 from gridloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from gridloom.llm.shared import shared_dir
 from gridloom.llm.token_files import read_token_files, write_token_files
@@ -55,6 +56,26 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = find_contamination(docs, items)
+    listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
 
-ORACLE_SQL = {"op8_quality_rules": _quality_sql()}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT item_id, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+g AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS g FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM p))),
+o AS (SELECT doc_id, i, g.m, item_id FROM g JOIN p ON g.m = p.m AND g.g = p.g),
+h AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, m)) AS k FROM (SELECT DISTINCT doc_id, i, m FROM o)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS x FROM o GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.x, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+QUERIES = {"op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+
+ORACLE_SQL = {"op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.decontaminate import find_contamination, n_hit
+from gridloom.llm.jaccard_join import jaccard_join
 from gridloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from gridloom.llm.shared import shared_dir
 from gridloom.llm.token_files import read_token_files, write_token_files
@@ -56,6 +57,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = find_contamination(docs, items)
@@ -76,6 +81,6 @@ t AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(lis
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.x, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-QUERIES = {"op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
 
 ORACLE_SQL = {"op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.decontaminate import find_contamination, n_hit
 from gridloom.llm.jaccard_join import jaccard_join
+from gridloom.llm.mixing import mix, taken
 from gridloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from gridloom.llm.shared import shared_dir
 from gridloom.llm.token_files import read_token_files, write_token_files
@@ -61,6 +62,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = taken(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return mixed.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = find_contamination(docs, items)
@@ -81,6 +87,31 @@ t AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(lis
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(t.x, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
-
-ORACLE_SQL = {"op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}
+def _mix_sql(documents: str = "documents") -> str:
+    """Targets, schedule and stream of the mix; a document's words are the overlap of its stretch, pass by pass, with the source's slots."""
+    return f"""
+d0 AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('17|' || doc_id::VARCHAR || '|' || text), 1, 15))::BIGINT AS h FROM {documents}),
+s0 AS (SELECT source, sum(size)::BIGINT AS size FROM d0 GROUP BY source),
+s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1] AS w, 3 * size AS cap, (SELECT sum(size) FROM s0)::BIGINT AS total FROM s0),
+s2 AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM s1),
+s3 AS (SELECT *, cap * ws <= rest * w AS capped FROM s2),
+s4 AS (SELECT s3.*, CASE WHEN capped THEN cap::DOUBLE ELSE f.r::DOUBLE * w / f.v END AS target FROM s3 LEFT JOIN (SELECT rest AS r, ws AS v FROM s3 WHERE NOT capped ORDER BY cap / w, source NULLS LAST LIMIT 1) f ON true),
+b AS (SELECT greatest(1, ceil(max(total) / greatest(65536, 1024 * count(*)))::BIGINT) AS block, max(total) AS total FROM s4),
+r0 AS (SELECT source, sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS high, target FROM s4 WHERE target > 0),
+p AS (SELECT slot, (((slot % 2147483648) * 1327217885 + 663608942) % 2147483648) / 2147483648.0::DOUBLE AS point FROM (SELECT unnest(range(0, ceil(total / block)::BIGINT)) AS slot FROM b)),
+k AS (SELECT arg_min(source, high) AS source FROM p, r0 WHERE high >= point OR high > 0.999999999 GROUP BY slot),
+n AS (SELECT source, count(*) AS slots FROM k GROUP BY source),
+d1 AS (SELECT d0.*, s4.size AS source_size, s4.target, coalesce(n.slots, 0) * b.block AS stream,
+         coalesce(sum(d0.size) OVER (PARTITION BY d0.source ORDER BY h, doc_id, d0.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
+       FROM d0 JOIN s4 ON d0.source IS NOT DISTINCT FROM s4.source LEFT JOIN n ON d0.source IS NOT DISTINCT FROM n.source, b),
+mixed AS (SELECT *, list_sum(list_transform([0, 1, 2], lambda q: greatest(0, least(q * source_size + at_ + size, stream) - (q * source_size + at_))))::BIGINT AS taken FROM d1)"""
+
+
+_MIXING_SQL = f"WITH {_mix_sql()} SELECT doc_id, size, source_size, target, taken FROM mixed"
+
+
+QUERIES = {"op3_mix_sources": op3_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+
+ORACLE_SQL = {"op3_mix_sources": _MIXING_SQL, "op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}

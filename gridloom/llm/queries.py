@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.decontaminate import find_contamination, n_hit
 from gridloom.llm.jaccard_join import jaccard_join
 from gridloom.llm.mixing import mix, taken
+from gridloom.llm.personal_data import BASE_KINDS, listed, n_of, personal_data
 from gridloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from gridloom.llm.shared import shared_dir
 from gridloom.llm.token_files import read_token_files, write_token_files
@@ -67,6 +68,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    base = F.col("base")
+    counts = (n_of(base, k).alias(f"n_{k}") for k in BASE_KINDS)
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = find_contamination(docs, items)
@@ -112,6 +120,6 @@ mixed AS (SELECT *, list_sum(list_transform([0, 1, 2], lambda q: greatest(0, lea
 _MIXING_SQL = f"WITH {_mix_sql()} SELECT doc_id, size, source_size, target, taken FROM mixed"
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+QUERIES = {"op3_mix_sources": op3_mix_sources, "op5_personal_data": op5_personal_data, "op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
 
 ORACLE_SQL = {"op3_mix_sources": _MIXING_SQL, "op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.decontaminate import find_contamination, n_hit
@@ -12,6 +12,7 @@ from gridloom.llm.personal_data import BASE_KINDS, listed, n_of, personal_data
 from gridloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from gridloom.llm.shared import shared_dir
 from gridloom.llm.token_files import read_token_files, write_token_files
+from gridloom.llm.url_filters import url_filters, url_host, url_keys
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,74 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def _digits(x: Column, at: int) -> Column:
+    """A number from 0 to 65535 out of the md5 of a text; DuckDB has the same."""
+    return F.conv(F.substring(F.md5(x.cast("binary")), at, 4), 16, 10).cast("int")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """The pages table has no fetch date: one of the 365 days from 2024-01-01 by the md5 of the URL stands for it."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), _digits(F.coalesce("url", F.lit("")), 1) % 365).alias("fetch_day"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries for the hosts of a pages table, by the md5 of each key: a listing, for half of them its end, for a quarter a second one.
+
+    Three of four hosts and host/segment keys have entries; registered domains have a block in spring, hosts under them an exception.
+    """
+    url = F.col("url")
+    host = pages.select(url_host(url).alias("host"), F.element_at(url_keys(url, 1), -1).alias("deep")).filter("host IS NOT NULL").distinct()
+    keys = (
+        host.select(F.col("host").alias("key"), F.lit("block").alias("list"))
+        .union(host.filter("deep <> host AND contains(deep, '/')").select(F.col("deep").alias("key"), F.lit("allow").alias("list")))
+        .union(host.select(F.substring_index("host", ".", -2).alias("key"), F.lit("block").alias("list")))
+        .distinct()
+    )
+    turn = _digits(F.col("key"), 5) % 4
+    day = lambda at, low, wide: F.date_add(F.lit("2024-01-01").cast("date"), F.lit(low) + _digits(F.col("key"), at) % wide)
+    steps = F.array(
+        F.struct(F.lit("add").alias("action"), day(9, 0, 120).alias("day"), F.lit(1).alias("least")),
+        F.struct(F.lit("remove").alias("action"), day(13, 120, 120).alias("day"), F.lit(2).alias("least")),
+        F.struct(F.lit("add").alias("action"), day(17, 240, 120).alias("day"), F.lit(3).alias("least")),
+    )
+    return keys.withColumn("step", F.explode(F.filter(steps, lambda s: s["least"] <= turn))).select("list", "step.action", "key", "step.day")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filters(captures(pages), list_entries(pages))
+
+
+_URL_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, (DATE '2024-01-01' + (('0x' || substr(md5(coalesce(url, '')), 1, 4))::INT % 365))::DATE AS fetch_day,
+         nullif(regexp_replace(lower(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@\s]+)', 1)), '^www\.|\.$', '', 'g'), '') AS host,
+         list_filter(string_split(regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages
+), k AS (
+  SELECT page_id, unnest(list_distinct(list_concat(
+    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, least(len(parts), 2) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/'))))) AS key
+  FROM c WHERE host IS NOT NULL
+), n AS (
+  SELECT host AS key, 'block' AS list FROM c WHERE host IS NOT NULL
+  UNION SELECT host || '/' || parts[1], 'allow' FROM c WHERE host IS NOT NULL AND len(parts) > 0
+  UNION SELECT array_to_string(string_split(host, '.')[greatest(len(string_split(host, '.')) - 1, 1):], '.'), 'block' FROM c WHERE host IS NOT NULL
+), h AS (
+  SELECT *, ('0x' || substr(md5(key), 5, 4))::INT % 4 AS turn, DATE '2024-01-01' + ('0x' || substr(md5(key), 9, 4))::INT % 120 AS a,
+         DATE '2024-01-01' + 120 + ('0x' || substr(md5(key), 13, 4))::INT % 120 AS b, DATE '2024-01-01' + 240 + ('0x' || substr(md5(key), 17, 4))::INT % 120 AS d
+  FROM n
+), v AS (
+  SELECT list, key, a AS f, CASE WHEN turn >= 2 THEN b END AS t FROM h WHERE turn >= 1
+  UNION ALL SELECT list, key, d, NULL FROM h WHERE turn >= 3
+), m AS (
+  SELECT c.page_id, v.key, v.list, row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.key) DESC, v.list = 'allow' DESC, v.key DESC) AS r, count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM c JOIN k USING (page_id) JOIN v ON v.key = k.key AND v.f <= c.fetch_day AND (v.t IS NULL OR c.fetch_day < v.t)
+)
+SELECT c.page_id, c.url, c.fetch_day, coalesce(m.n, 0)::BIGINT AS n_active, m.key AS matched_key, coalesce(m.list, 'none') AS verdict, coalesce(m.list, 'none') <> 'block' AS kept
+FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.r = 1"""
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -120,6 +189,6 @@ mixed AS (SELECT *, list_sum(list_transform([0, 1, 2], lambda q: greatest(0, lea
 _MIXING_SQL = f"WITH {_mix_sql()} SELECT doc_id, size, source_size, target, taken FROM mixed"
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op5_personal_data": op5_personal_data, "op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+QUERIES = {"op1_url_filters": op1_url_filters, "op3_mix_sources": op3_mix_sources, "op5_personal_data": op5_personal_data, "op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
 
-ORACLE_SQL = {"op3_mix_sources": _MIXING_SQL, "op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}
+ORACLE_SQL = {"op1_url_filters": _URL_SQL, "op3_mix_sources": _MIXING_SQL, "op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}

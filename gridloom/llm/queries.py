@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.decontaminate import find_contamination, n_hit
+from gridloom.llm.html_text import extract_text
 from gridloom.llm.jaccard_join import jaccard_join
+from gridloom.llm.language_id import identify, learn
 from gridloom.llm.mixing import mix, taken
 from gridloom.llm.personal_data import BASE_KINDS, listed, n_of, personal_data
+from gridloom.llm.quality_model import score, text_features, train
 from gridloom.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from gridloom.llm.schema import held_out
 from gridloom.llm.shared import shared_dir
 from gridloom.llm.token_files import read_token_files, write_token_files
 from gridloom.llm.url_filters import url_filters, url_host, url_keys
@@ -144,6 +148,21 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    names, profiles = learn(docs.filter(~held_out()), F.col("lang"), F.col("text"))
+    return identify(docs, {"doc_id": F.col("doc_id"), "held_out": held_out()}, F.col("text"), names, profiles)
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = text_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score(features, train(features, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = find_contamination(docs, items)
@@ -189,6 +208,6 @@ mixed AS (SELECT *, list_sum(list_transform([0, 1, 2], lambda q: greatest(0, lea
 _MIXING_SQL = f"WITH {_mix_sql()} SELECT doc_id, size, source_size, target, taken FROM mixed"
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op3_mix_sources": op3_mix_sources, "op5_personal_data": op5_personal_data, "op2_jaccard_join": op2_jaccard_join, "op6_decontaminate": op6_decontaminate, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
+QUERIES = {"op1_url_filters": op1_url_filters, "op3_mix_sources": op3_mix_sources, "op5_personal_data": op5_personal_data, "op2_jaccard_join": op2_jaccard_join, "op4_html_text": op4_html_text, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op9_quality_model": op9_quality_model, "op8_quality_rules": op8_quality_rules, "op10_token_files": op10_token_files}
 
 ORACLE_SQL = {"op1_url_filters": _URL_SQL, "op3_mix_sources": _MIXING_SQL, "op6_decontaminate": _CONTAMINATION_SQL, "op8_quality_rules": _quality_sql()}

@@ -103,17 +103,22 @@ def scan_shard(numbers: np.ndarray, first: np.ndarray, phrases: Phrases) -> tupl
     return covered, pair // len(phrases.ids), pair % len(phrases.ids)
 
 
+def _numbers(buf: np.ndarray, off: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's number in the benchmark, 0 if it has none, and the first word of each text."""
+    hashes, first, _, _ = words(buf, off)
+    if not len(phrases.vocabulary):
+        return np.zeros(len(hashes), np.int64), first
+    at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
+    return np.where(phrases.vocabulary[at] == hashes, at + 1, 0), first
+
+
 def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     names = pa.array(phrases.ids, pa.string())
     for batch in batches:
         buf, off = utf8(batch.column(1))
         for i, j in pieces(off, 4 << 20):
-            hashes, first, _, _ = words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            number = np.zeros(len(hashes), np.int64)
-            if len(phrases.vocabulary):
-                at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
-                number = np.where(phrases.vocabulary[at] == hashes, at + 1, 0)
+            number, first = _numbers(buf[off[i] : off[j]], off[i : j + 1] - off[i], phrases)
             covered, docs, items = scan_shard(number, first, phrases)
             cut = np.zeros(len(covered) + 1, bool)
             cut[first] = True
@@ -164,3 +169,23 @@ def merge_groups(found: DataFrame) -> DataFrame:
 def n_hit() -> Column:
     """Words inside any occurrence."""
     return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], phrases: Phrases, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buf, off = utf8(batch.column(at))
+        hit = np.zeros(batch.num_rows, bool)
+        for i, j in pieces(off, 4 << 20):
+            number, first = _numbers(buf[off[i] : off[j]], off[i : j + 1] - off[i], phrases)
+            _, docs, _ = scan_shard(number, first, phrases)
+            hit[i + docs] = True
+        yield batch.filter(pa.array(~hit))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_chars: int = 16 << 20) -> DataFrame:
+    """The rows of docs without an occurrence of any phrase, with all their columns and no shuffle."""
+    at = docs.columns.index(text_col)
+    for group in _item_groups(items, item_col, item_text_col, most_chars):
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(group, width))
+        docs = docs.mapInArrow(lambda batches, p=phrases: _clean(batches, p.value, at), docs.schema)
+    return docs

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import importlib
+
+from gridloom.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "composite_windows"
+
+for _module in ("cells", "relations", "evaluation", "series", "lattice", "simulation", "storage", "learning"):
+    importlib.import_module(f"gridloom.plans.{_module}")
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -1 +1,191 @@
-"""Queries; filled in below."""
+"""Queries of agreement metrics, thresholds, bootstraps, ensembles and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.operators import ensemble as E
+from gridloom.operators import metrics as M
+from gridloom.plans.cells import rounded
+from gridloom.plans.registry import fixture, query
+
+_CONF = "c AS (SELECT stratum, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5 AND y = 0) AS fp, count(*) FILTER (s < 0.5 AND y = 1) AS fn, count(*) FILTER (s < 0.5 AND y = 0) AS tn FROM scored GROUP BY stratum)"
+_P, _R = "tp / nullif(tp + fp, 0)", "tp / nullif(tp + fn, 0)"
+
+
+def counts(df, keys=("stratum",)):
+    return M.confusion(df, F.col("s") >= 0.5, F.col("y") == 1, keys)
+
+
+@query("confusion_metrics", f"WITH {_CONF} SELECT stratum, tp, fp, fn, tn, round({_P}, 6) AS precision, round({_R}, 6) AS recall, round(CASE WHEN tp + fp > 0 AND tp + fn > 0 THEN CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END END, 6) AS f1, round(tp / nullif(tp + fp + fn, 0), 6) AS iou FROM c", on="scored")
+def confusion_metrics(df):
+    s = M.scores()
+    return rounded(counts(df).withColumns(s), *s)
+
+
+@query("event_scores", f"WITH {_CONF} SELECT stratum, round({_R}, 6) AS pod, round(fp / nullif(tp + fp, 0), 6) AS far, round(tp / nullif(tp + fp + fn, 0), 6) AS csi, round((tp + fp) / nullif(tp + fn, 0), 6) AS bias, round(tp / greatest(tp + fn, 1), 6) AS pod_zeroed FROM c", on="scored")
+def event_scores(df):
+    s = M.event_scores() | {"pod_zeroed": M.zeroed(F.col("tp"), F.col("tp") + F.col("fn"))}
+    return rounded(counts(df).select("stratum", *(v.alias(k) for k, v in s.items())), *s)
+
+
+@query("csi_bounds", f"WITH {_CONF} SELECT stratum, round(tp / (tp + fp + fn), 6) AS csi_decided, round(tp / (tp + fp + fn + tn % 50), 6) AS csi_unknown_dry, round((tp + tn % 50) / (tp + fp + fn + tn % 50 + tn % 30), 6) AS csi_unknown_wet, round(tp / (tp + fp + fn + tn % 50 + tn % 30), 6) AS csi_min, round((tp + tn % 50) / (tp + fp + fn + tn % 50), 6) AS csi_max FROM c", on="scored")
+def csi_bounds(df):
+    s = M.csi_bounds(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn") % 50, F.col("tn") % 30)
+    return rounded(counts(df).select("stratum", *(v.alias(k) for k, v in s.items())), *s)
+
+
+@query("accuracy_kappa", "WITH k AS (SELECT y AS a, (s >= 0.5)::INT AS b FROM scored), m AS (SELECT a, b, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n) FILTER (a = b) AS same FROM m), e AS (SELECT sum(x.n * z.n) AS e FROM (SELECT a, sum(n) AS n FROM m GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM m GROUP BY b) z ON x.a = z.b) SELECT t.n::BIGINT AS n, round(same / t.n, 6) AS accuracy, round((same / t.n - e / (t.n * t.n)) / (1 - e / (t.n * t.n)), 6) AS kappa FROM t, e", on="scored")
+def accuracy_kappa(df):
+    return rounded(M.kappa(df.select(F.col("y").alias("a"), (F.col("s") >= 0.5).cast("int").alias("b")), "a", "b"), "accuracy", "kappa")
+
+
+_RANK = "g AS (SELECT stratum, s, sum(y) AS p, count(*) AS n FROM scored GROUP BY ALL), r AS (SELECT *, sum(p) OVER (PARTITION BY stratum ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY stratum ORDER BY s DESC) AS seen, sum(p) OVER (PARTITION BY stratum) AS pos, sum(n) OVER (PARTITION BY stratum) AS al FROM g)"
+
+
+@query("average_precision", f"WITH {_RANK} SELECT stratum, round(sum(p / pos * tp / seen), 6) AS ap FROM r GROUP BY stratum", on="scored")
+def average_precision(df):
+    return rounded(M.average_precision(df, "s", "y", ["stratum"]), "ap")
+
+
+@query("roc_auc", f"WITH {_RANK} SELECT stratum, round(sum((n - p) * (tp - p / 2)) / (max(pos) * (max(al) - max(pos))), 6) AS auc FROM r GROUP BY stratum", on="scored")
+def roc_auc(df):
+    return rounded(M.roc_auc(df, "s", "y", ["stratum"]), "auc")
+
+
+@query("threshold_at_recall", f"WITH {_RANK} SELECT stratum, max(s) AS threshold FROM r WHERE tp >= 0.9 * pos GROUP BY stratum", on="scored")
+def threshold_at_recall(df):
+    return M.threshold_at_recall(df, "s", "y", 0.9, ["stratum"])
+
+
+_GRID = [round(0.05 * k, 2) for k in range(1, 20)]
+
+
+@query("threshold_sweep", f"SELECT t AS threshold, count(*) FILTER (s >= t AND y = 1) AS tp, count(*) FILTER (s >= t AND y = 0) AS fp, count(*) FILTER (s < t AND y = 1) AS fn, count(*) FILTER (s < t AND y = 0) AS tn FROM scored, (SELECT unnest({_GRID}::DOUBLE[]) AS t) GROUP BY t", on="scored")
+def threshold_sweep(df):
+    return M.threshold_sweep(df, "s", "y", _GRID)
+
+
+@query("best_f1_threshold", f"WITH c AS (SELECT stratum, t, count(*) FILTER (s >= t AND y = 1) AS tp, count(*) FILTER (s >= t AND y = 0) AS fp, count(*) FILTER (s < t AND y = 1) AS fn FROM scored, (SELECT unnest({_GRID}::DOUBLE[]) AS t) GROUP BY ALL), f AS (SELECT stratum, t, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 12) AS f1 FROM c) SELECT stratum, arg_max(t, (f1, -t)) AS threshold, round(max(f1), 9) AS f1 FROM f GROUP BY stratum", on="scored")
+def best_f1_threshold(df):
+    return rounded(M.best_f1_threshold(df, "s", "y", _GRID, ["stratum"]), "f1", digits=9)
+
+
+@query("block_counts", "SELECT block, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5 AND y = 0) AS fp, count(*) FILTER (s < 0.5 AND y = 1) AS fn, count(*) FILTER (s < 0.5 AND y = 0) AS tn FROM scored GROUP BY block", on="scored")
+def block_counts(df):
+    return counts(df, ["block"])
+
+
+_LCG = lambda k: f"((((({k}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 // 1024)"
+_BOOT = f"b AS (SELECT block, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5 AND y = 0) AS fp, count(*) FILTER (s < 0.5 AND y = 1) AS fn FROM scored GROUP BY block), m AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS at_, count(*) OVER () AS nb FROM b), d AS (SELECT id // nb AS rep, {_LCG('id + 1')} % nb AS at_ FROM (SELECT unnest(range(0, 200 * (SELECT count(*) FROM b))) AS id), (SELECT count(*) AS nb FROM b)), s AS (SELECT rep, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM d JOIN m USING (at_) GROUP BY rep)"
+
+
+@query("block_bootstrap", f"WITH {_BOOT}, v AS (SELECT 'f1' AS statistic, 2 * tp / nullif(2 * tp + fp + fn, 0) AS value FROM s UNION ALL SELECT 'iou', tp / nullif(tp + fp + fn, 0) FROM s) SELECT statistic, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS n_defined FROM v GROUP BY statistic")
+def block_bootstrap(spark, sf):
+    b = counts(fixture(spark, sf, "scored"), ["block"]).drop("tn")
+    stats = {k: v for k, v in M.scores().items() if k in ("f1", "iou")}
+    return rounded(M.bootstrap(b, M.resample(spark, b, 200, "block"), "block", stats), "low", "high")
+
+
+@query("paired_bootstrap", f"WITH a AS (SELECT block, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5) + count(*) FILTER (s < 0.5 AND y = 1) AS u, count(*) FILTER (s >= 0.6 AND y = 1) AS tp2, count(*) FILTER (s >= 0.6) + count(*) FILTER (s < 0.6 AND y = 1) AS u2 FROM scored GROUP BY block), m AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS at_ FROM a), d AS (SELECT id // nb AS rep, {_LCG('id + 1')} % nb AS at_ FROM (SELECT unnest(range(0, 200 * (SELECT count(*) FROM a))) AS id), (SELECT count(*) AS nb FROM a)), s AS (SELECT rep, sum(tp2) / sum(u2) - sum(tp) / sum(u) AS v FROM d JOIN m USING (at_) GROUP BY rep) SELECT 'iou_gain' AS statistic, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_defined FROM s")
+def paired_bootstrap(spark, sf):
+    """The gain of one threshold over another on the same resampled blocks."""
+    x = fixture(spark, sf, "scored")
+    arm = lambda t, n: [F.count_if((F.col("s") >= t) & (F.col("y") == 1)).alias(f"tp{n}"), F.count_if((F.col("s") >= t) | (F.col("y") == 1)).alias(f"u{n}")]
+    b = x.groupBy("block").agg(*arm(0.5, 1), *arm(0.6, 2))
+    gain = M.defined(F.col("tp2"), F.col("u2")) - M.defined(F.col("tp1"), F.col("u1"))
+    return rounded(M.bootstrap(b, M.resample(spark, b, 200, "block"), "block", {"iou_gain": gain}), "low", "high")
+
+
+@query("error_summary", "SELECT river, count(*) AS n, round(avg(h - 5), 6) AS bias, round(median(h - 5), 6) AS median, round(avg(abs(h - 5)), 6) AS mae, round(sqrt(avg((h - 5) ** 2)), 6) AS rmse FROM obs GROUP BY river", on="obs")
+def error_summary(df):
+    return rounded(M.summary(df.withColumn("e", F.col("h") - 5), "e", ["river"]), "bias", "median", "mae", "rmse")
+
+
+@query("seed_summary", "SELECT region, round(avg(area), 6) AS mean, round(stddev_samp(area), 6) AS sd, round(min(area), 6) AS low, round(max(area), 6) AS high, round(max(area) - min(area), 6) AS spread, count(*) FILTER (area > 500) IN (0, count(*)) AS same_sign FROM draws GROUP BY region", on="draws")
+def seed_summary(df):
+    a = F.col("area")
+    x = df.groupBy("region").agg(F.avg(a).alias("mean"), F.stddev_samp(a).alias("sd"), F.min(a).alias("low"), F.max(a).alias("high"), (F.max(a) - F.min(a)).alias("spread"), F.count_if(a > 500).isin(F.lit(0), F.count("*")).alias("same_sign"))
+    return rounded(x, "mean", "sd", "low", "high", "spread")
+
+
+@query("lag_correlation", "SELECT k AS lag, round(corr(a.dem, b.dem), 6) AS rho, count(*) AS n FROM cells a, (SELECT unnest([1, 2, 3]) AS k) JOIN cells b ON b.r = a.r AND b.c = a.c + k GROUP BY k", on="cells")
+def lag_correlation(df):
+    a = df.select("r", "c", F.col("dem").alias("a")).withColumn("lag", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("c", F.col("c") + F.col("lag"))
+    return rounded(a.join(df.select("r", "c", "dem"), ["r", "c"]).groupBy("lag").agg(F.corr("a", "dem").alias("rho"), F.count("*").alias("n")), "rho")
+
+
+@query("ensemble_quantiles", "SELECT date, region, round(sum(area) FILTER (draw = 7), 6) AS central, round(quantile_cont(area, 0.05) FILTER (draw <> 7), 6) AS p05, round(quantile_cont(area, 0.5) FILTER (draw <> 7), 6) AS p50, round(quantile_cont(area, 0.95) FILTER (draw <> 7), 6) AS p95, count(*) FILTER (draw <> 7) AS n_draws FROM draws GROUP BY date, region", on="draws")
+def ensemble_quantiles(df):
+    return rounded(E.quantiles(df, "area", ["date", "region"], nominal=7), "central", "p05", "p50", "p95")
+
+
+@query("peak_dates", "WITH t AS (SELECT region, draw, arg_max(date, (area, -date)) AS d FROM draws WHERE draw <> 7 GROUP BY ALL), k AS (SELECT region, d AS date_of_maximum, count(*) AS n FROM t GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY region), 6) AS share FROM k", on="draws")
+def peak_dates(df):
+    return rounded(E.peak_dates(df.filter("draw <> 7"), "area", "region"), "share")
+
+
+@query("convergence", "SELECT m AS n_draws, date, round(quantile_cont(area, 0.05), 6) AS p05, round(quantile_cont(area, 0.5), 6) AS p50, round(quantile_cont(area, 0.95), 6) AS p95 FROM draws, (SELECT unnest([10, 20, 40]) AS m) WHERE region = 1 AND draw <= m GROUP BY m, date", on="draws")
+def convergence(df):
+    return rounded(E.convergence(df.filter("region = 1"), "area", [10, 20, 40]), "p05", "p50", "p95")
+
+
+@query("pooled_regions", "WITH p AS (SELECT draw, date, sum(area) AS a FROM draws WHERE region IN (1, 2) GROUP BY ALL) SELECT date, round(quantile_cont(a, 0.05), 6) AS p05, round(quantile_cont(a, 0.95), 6) AS p95 FROM p GROUP BY date", on="draws")
+def pooled_regions(df):
+    """Regions summed within a world first: quantiles do not add up."""
+    p = df.filter("region IN (1, 2)").groupBy("draw", "date").agg(F.sum("area").alias("a"))
+    return rounded(p.groupBy("date").agg(F.percentile("a", F.lit(0.05)).alias("p05"), F.percentile("a", F.lit(0.95)).alias("p95")), "p05", "p95")
+
+
+@query("cell_probability", "WITH p AS (SELECT r, c, avg((q > 25)::INT) AS p FROM cell_day GROUP BY r, c) SELECT round(sum(p) * 0.04::DOUBLE, 6) AS expected_km2, round(count(*) FILTER (p >= 0.8) * 0.04::DOUBLE, 6) AS wet_km2, round(count(*) FILTER (p >= 0.5) * 0.04::DOUBLE, 6) AS likely_km2, round(count(*) FILTER (p <= 0.05) * 0.04::DOUBLE, 6) AS dry_km2 FROM p", on="cell_day")
+def cell_probability(df):
+    p = df.groupBy("r", "c").agg(F.avg((F.col("q") > 25).cast("int")).alias("p"))
+    k = lambda cond: F.count_if(cond) * 0.04
+    x = p.agg((F.sum("p") * 0.04).alias("expected_km2"), k(F.col("p") >= 0.8).alias("wet_km2"), k(F.col("p") >= 0.5).alias("likely_km2"), k(F.col("p") <= 0.05).alias("dry_km2"))
+    return rounded(x, "expected_km2", "wet_km2", "likely_km2", "dry_km2")
+
+
+@query("consistency_filter", "WITH o AS (SELECT date, median(area) AS obs FROM draws GROUP BY date), f AS (SELECT draw, bool_and(CASE WHEN obs < 0.25 THEN area <= 0.5 ELSE area BETWEEN obs / 2 AND obs * 2 END) AS kept FROM (SELECT draw, date, avg(area) AS area FROM draws GROUP BY ALL) JOIN o USING (date) GROUP BY draw) SELECT * FROM f", on="draws")
+def consistency_filter(df):
+    o = df.groupBy("date").agg(F.median("area").alias("obs"))
+    a = df.groupBy("draw", "date").agg(F.avg("area").alias("area")).join(o, "date")
+    ok = F.when(F.col("obs") < 0.25, F.col("area") <= 0.5).otherwise(F.col("area").between(F.col("obs") / 2, F.col("obs") * 2))
+    return a.groupBy("draw").agg(F.bool_and(ok).alias("kept"))
+
+
+@query("envelope_class", "WITH p AS (SELECT r, c, avg((q > 25)::INT) AS p, max(q) AS m, min(t) AS t FROM cell_day GROUP BY r, c) SELECT r, c, CASE WHEN t > 0.02 THEN 1 WHEN m < 40 THEN 2 WHEN p >= 0.6 THEN 3 WHEN p >= 0.5 THEN 4 WHEN p >= 0.05 THEN 5 ELSE 0 END AS cls FROM p", on="cell_day")
+def envelope_class(df):
+    from gridloom.operators.decisions import first_wins
+
+    p = df.groupBy("r", "c").agg(F.avg((F.col("q") > 25).cast("int")).alias("p"), F.max("q").alias("m"), F.min("t").alias("t"))
+    return p.select("r", "c", first_wins([(F.col("t") > 0.02, 1), (F.col("m") < 40, 2), (F.col("p") >= 0.6, 3), (F.col("p") >= 0.5, 4), (F.col("p") >= 0.05, 5)], 0).alias("cls"))
+
+
+@query("gates", "SELECT 'inventory' AS gate, (SELECT count(*) - count(DISTINCT (r, c)) FROM cells)::DOUBLE AS measured, 0::DOUBLE AS expected, 'PASS' AS status UNION ALL SELECT 'range', (SELECT count(*) FILTER (dem NOT BETWEEN 0 AND 60) FROM cells), 0, 'PASS' UNION ALL SELECT 'recount', (SELECT sum(n) FROM cells) - (SELECT count(*) FROM stack), 0, 'PASS' UNION ALL SELECT 'missing', NULL, 0, 'INCOMPLETE'")
+def gates(spark, sf):
+    from gridloom.operators.gates import gate_table
+
+    cells, stack = fixture(spark, sf, "cells"), fixture(spark, sf, "stack")
+    recount = cells.agg(F.sum("n").alias("a")).crossJoin(stack.agg(F.count("*").alias("b"))).select((F.col("a") - F.col("b")).cast("double"))  # one row each
+    return gate_table(
+        spark,
+        {
+            "inventory": (cells.agg((F.count("*") - F.count_distinct("r", "c")).cast("double")), 0.0),
+            "range": (cells.agg(F.count_if(~F.col("dem").between(0, 60)).cast("double")), 0.0),
+            "recount": (recount, 0.0),
+            "missing": (None, 0.0),
+        },
+    )
+
+
+@query("overlap_invariant", "WITH m AS (SELECT r, c, line, max(b03) AS v FROM stack WHERE line IN (1, 2) GROUP BY ALL) SELECT count(*) AS n_shared, count(*) FILTER (a.v IS DISTINCT FROM b.v) AS n_mismatch FROM m a JOIN m b ON a.r = b.r AND a.c = b.c AND a.line = 1 AND b.line = 2", on="stack")
+def overlap_invariant(df):
+    from gridloom.operators.gates import overlap
+
+    return overlap(df.groupBy("r", "c", "line").agg(F.max("b03").alias("v")), ["r", "c"], "line", "v", 1, 2)
+
+
+@query("accounting_identity", "SELECT date, round(sum(area) FILTER (region < 3) + sum(area) FILTER (region >= 3) - sum(area), 6) = 0 AS holds FROM draws GROUP BY date", on="draws")
+def accounting_identity(df):
+    part = lambda c: F.sum(F.when(c, F.col("area")))
+    return df.groupBy("date").agg((F.round(part(F.col("region") < 3) + part(F.col("region") >= 3) - F.sum("area"), 6) == 0).alias("holds"))

@@ -30,7 +30,7 @@ FIXTURES = {
     # Raw observations of level nodes, and the daily medians of nodes.
     "obs": """SELECT user_id AS node, CAST(ts AS DATE) AS day, value AS h, event_type AS river FROM {events}""",
     "node_day": """SELECT user_id AS node, CAST(ts AS DATE) AS day, median(value) AS h FROM {events} GROUP BY user_id, CAST(ts AS DATE)""",
-    "nodes": """SELECT user_id AS node, (user_id * 37 % 101) * 50.0 AS x, (user_id * 53 % 97) * 50.0 AS y, min(event_type) AS river, CAST(count(*) AS INT) AS n FROM {events} GROUP BY user_id""",
+    "nodes": """SELECT user_id AS node, CAST((user_id * 37 % 101) * 50 AS DOUBLE) AS x, CAST((user_id * 53 % 97) * 50 AS DOUBLE) AS y, min(event_type) AS river, CAST(count(*) AS INT) AS n FROM {events} GROUP BY user_id""",
     # Cell-day states of a short window.
     "cell_day": f"""SELECT {_LATTICE}, CAST(l_shipdate AS DATE) AS day, max(l_quantity) AS q, max(l_tax) AS t, min(l_discount) AS d FROM {{lineitem}} GROUP BY l_partkey % 40, l_suppkey % 40, CAST(l_shipdate AS DATE)""",
     # Labelled scores with blocks.

@@ -1 +1,155 @@
-"""Queries; filled in below."""
+"""Queries of morphology, connectivity and inundation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.operators import components as C
+from gridloom.operators import inundation as W
+from gridloom.operators import morphology as O
+from gridloom.plans.cells import rounded
+from gridloom.plans.registry import query
+
+_TILE = 16  # smaller than the fixture's 40 x 40 lattice, so that components cross tiles
+_LOW = "m AS (SELECT r, c FROM cells WHERE dem < 24.5)"
+_NEAR8 = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1"
+
+
+def low(df):
+    return df.filter("dem < 24.5").select("r", "c")
+
+
+# Labels by recursion on the oracle's side: the smallest cell number reachable.
+_LABEL = f"{_LOW}, reach AS (SELECT r, c, r * 1000 + c AS k FROM m UNION SELECT a.r, a.c, b.k FROM reach b JOIN m a ON {_NEAR8}), lab AS (SELECT r, c, min(k) AS k FROM reach GROUP BY r, c)"
+
+
+@query("connected_to_seed", f"WITH RECURSIVE {_LOW}, reach AS (SELECT r, c FROM m WHERE c = 0 UNION SELECT a.r, a.c FROM reach b JOIN m a ON {_NEAR8}) SELECT r, c FROM reach", on="cells")
+def connected_to_seed(df):
+    m = low(df)
+    return C.connected_to(m, m.filter("c = 0"), 8, tile=_TILE)
+
+
+@query("connected_to_seed_four", f"WITH RECURSIVE {_LOW}, reach AS (SELECT r, c FROM m WHERE c = 0 UNION SELECT a.r, a.c FROM reach b JOIN m a ON abs(a.r - b.r) + abs(a.c - b.c) <= 1) SELECT r, c FROM reach", on="cells")
+def connected_to_seed_four(df):
+    m = low(df)
+    return C.connected_to(m, m.filter("c = 0"), 4, tile=_TILE)
+
+
+@query("component_labels", f"WITH RECURSIVE {_LABEL} SELECT r, c, k // 1000 AS comp_r, k % 1000 AS comp_c FROM lab", on="cells")
+def component_labels(df):
+    return C.label(low(df), 8, tile=_TILE)
+
+
+@query("component_statistics", f"WITH RECURSIVE {_LABEL} SELECT k // 1000 AS comp_r, k % 1000 AS comp_c, count(*) AS n, round(avg((ground = 1)::INT), 6) AS share_one, round(max(dem), 6) AS highest FROM lab JOIN cells USING (r, c) GROUP BY k HAVING count(*) >= 3", on="cells")
+def component_statistics(df):
+    x = C.label(low(df), 8, tile=_TILE).join(df, ["r", "c"])
+    return x.groupBy("comp_r", "comp_c").agg(F.count("*").alias("n"), F.round(F.avg((F.col("ground") == 1).cast("int")), 6).alias("share_one"), F.round(F.max("dem"), 6).alias("highest")).filter("n >= 3")
+
+
+@query("largest_component", f"WITH RECURSIVE {_LABEL} SELECT r, c FROM lab WHERE k = (SELECT arg_max(k, (n, -k)) FROM (SELECT k, count(*) AS n FROM lab GROUP BY k))", on="cells")
+def largest_component(df):
+    return C.largest(low(df), 8, tile=_TILE)
+
+
+@query("seed_classes", f"WITH RECURSIVE {_LABEL}, s AS (SELECT k, CASE WHEN bool_or(ground = 1 AND c < 5) THEN 1 WHEN bool_or(ground = 1) THEN 2 ELSE 0 END AS cls FROM lab JOIN cells USING (r, c) GROUP BY k) SELECT cls, count(*) AS n_components FROM s GROUP BY cls", on="cells")
+def seed_classes(df):
+    s = df.filter("ground = 1")
+    x = C.seed_classes(low(df), s, s.filter("c < 5"), tile=_TILE)
+    return x.select("comp_r", "comp_c", "cls").distinct().groupBy("cls").agg(F.count("*").alias("n_components"))
+
+
+@query("erosion_disconnect", None, on="cells")
+def erosion_disconnect(df):
+    m = df.filter("dem < 32").select("r", "c")
+    k = C.erosion_disconnect(m, m.filter("c > 30"), m.filter("c < 3"), tile=_TILE)
+    return df.sparkSession.range(1).select(F.lit(k).alias("erosions"))
+
+
+@query("dilate_four", f"WITH {_LOW} SELECT DISTINCT a.r, a.c FROM cells a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1", on="cells")
+def dilate_four(df):
+    return O.dilate(low(df), 4, ny=40, nx=40)
+
+
+@query("erode_eight", f"WITH {_LOW} SELECT a.r, a.c FROM m a JOIN m b ON {_NEAR8} GROUP BY a.r, a.c HAVING count(*) = 9", on="cells")
+def erode_eight(df):
+    return O.erode(low(df), 8)
+
+
+@query("water_edge", f"WITH {_LOW}, d AS (SELECT DISTINCT a.r, a.c FROM cells a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1), e AS (SELECT a.r, a.c FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1 GROUP BY a.r, a.c HAVING count(*) = 5) SELECT r, c FROM d EXCEPT SELECT r, c FROM e", on="cells")
+def water_edge(df):
+    return O.boundary(low(df), ny=40, nx=40)
+
+
+@query("distance_transform", "WITH s AS (SELECT r AS sr, c AS sc FROM cells WHERE dem < 18), d AS (SELECT r, c, min(sqrt((r - sr) ** 2 + (c - sc) ** 2)) * 20 AS d FROM cells, s GROUP BY r, c) SELECT r, c, round(CASE WHEN d <= 120 THEN d END, 6) AS distance FROM d", on="cells")
+def distance_transform(df):
+    return rounded(O.distance_to(df.select("r", "c"), df.filter("dem < 18"), 120.0, 20.0), "distance")
+
+
+@query("buffer_mask", "WITH t AS (SELECT r, c FROM cells WHERE r // 10 = 1 AND c // 10 = 1), d AS (SELECT a.r, a.c, min(sqrt((a.r - t.r) ** 2 + (a.c - t.c) ** 2)) AS d FROM cells a, t GROUP BY a.r, a.c) SELECT r, c FROM d WHERE d >= 7", on="cells")
+def buffer_mask(df):
+    """Training cells at least a buffer away from every test cell."""
+    test = df.filter("r div 10 = 1 AND c div 10 = 1").select("r", "c")
+    return O.distance_to(df.select("r", "c"), test, 7.0).filter("distance IS NULL OR distance >= 7").select("r", "c")
+
+
+@query("majority_filter", "WITH o AS (SELECT a.r, a.c, greatest(least(a.r + i, 39), 0) AS nr, greatest(least(a.c + j, 39), 0) AS nc FROM cells a, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) SELECT o.r, o.c, avg((dem < 24.5)::INT) > 0.5 AS wet FROM o JOIN cells b ON b.r = nr AND b.c = nc GROUP BY o.r, o.c", on="cells")
+def majority_filter(df):
+    return O.majority(df.withColumn("wet", F.col("dem") < 24.5), "wet", ny=40, nx=40)
+
+
+@query("component_shapes", f"WITH RECURSIVE {_LABEL}, s AS (SELECT k, count(*) AS n, var_pop(r) AS vr, var_pop(c) AS vc, covar_pop(r, c) AS rc, (max(r) - min(r) + 1) AS height, (max(c) - min(c) + 1) AS width FROM lab GROUP BY k) SELECT k // 1000 AS comp_r, k % 1000 AS comp_c, n, height, width, round(n / (height * width), 6) AS fill, round(CASE WHEN (vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + rc * rc) > 1e-9 THEN sqrt(((vr + vc) / 2 + sqrt(((vr - vc) / 2) ** 2 + rc * rc)) / ((vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + rc * rc))) END, 5) AS elongation FROM s", on="cells")
+def component_shapes(df):
+    x = C.shape_statistics(C.label(low(df), 8, tile=_TILE))
+    return x.withColumns({"fill": F.round("fill", 6), "elongation": F.round("elongation", 5)})
+
+
+@query("component_perimeter", f"WITH RECURSIVE {_LABEL} SELECT a.k AS comp, count(*) AS perimeter FROM lab a, (SELECT unnest([-1, 1, 0, 0]) AS i, unnest([0, 0, -1, 1]) AS j) WHERE NOT EXISTS (SELECT 1 FROM lab b WHERE b.k = a.k AND b.r = a.r + i AND b.c = a.c + j) GROUP BY a.k", on="cells")
+def component_perimeter(df):
+    x = C.label(low(df), 8, tile=_TILE).withColumn("comp", F.col("comp_r") * 1000 + F.col("comp_c"))
+    return O.perimeter(x, "comp")
+
+
+# --- inundation --------------------------------------------------------------------------------------------------------
+
+_DAYS = [18.0, 22.0, 27.0, 24.0]
+_POT = f"w AS (SELECT unnest(range(0, 4)) AS day, unnest({_DAYS}::DOUBLE[]) AS wse), x AS (SELECT r, c, dem, day, wse FROM cells, w), b AS (SELECT * FROM x WHERE dem < wse), pot AS (SELECT day, r, c FROM b WHERE c = 0 UNION SELECT b.day, b.r, b.c FROM pot a JOIN b ON a.day = b.day AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1)"
+
+
+def cells_by_day(df):
+    day = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("day"), F.lit(w).alias("wse")) for i, w in enumerate(_DAYS))))
+    return df.withColumn("_d", day).select("r", "c", "dem", "hand", "ground", "_d.day", "_d.wse")
+
+
+def connected(df):
+    x = cells_by_day(df)
+    return x, W.potential(x, df.filter("c = 0"), tile=_TILE)
+
+
+@query("potential_inundation", f"WITH RECURSIVE {_POT} SELECT day, r, c FROM pot", on="cells")
+def potential_inundation(df):
+    return connected(df)[1]
+
+
+@query("hand_ceiling", f"SELECT day, count(*) AS n FROM cells, (SELECT unnest(range(0, 4)) AS day, unnest({_DAYS}::DOUBLE[]) AS wse) WHERE dem < wse AND hand <= 50 GROUP BY day", on="cells")
+def hand_ceiling(df):
+    return W.potential(cells_by_day(df), df, "hand_and_ceiling", hand_most=50.0).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("inundation_accounting", f"WITH RECURSIVE {_POT}, n AS (SELECT x.*, x.ground_ AS zone, NOT EXISTS (SELECT 1 FROM pot q WHERE q.day = 0 AND q.r = x.r AND q.c = x.c) AS fresh FROM pot JOIN (SELECT x.*, cells.ground AS ground_ FROM x JOIN cells USING (r, c)) x USING (day, r, c)) SELECT day, zone AS ground, round(count(*) * 0.0004::DOUBLE, 6) AS potential_km2, round(count(*) FILTER (fresh) * 0.0004::DOUBLE, 6) AS new_km2, round(sum(wse - dem) * 400 / 1e6, 9) AS potential_hm3, round(sum(CASE WHEN fresh THEN wse - dem ELSE 0 END) * 400 / 1e6, 9) AS new_hm3 FROM n GROUP BY day, zone", on="cells")
+def inundation_accounting(df):
+    x, pot = connected(df)
+    a = W.accounting(pot, pot.filter("day = 0"), x.select("day", "r", "c", "dem", "wse", "ground"), "ground")
+    a = rounded(a, "potential_km2", "new_km2")
+    return rounded(a, "potential_hm3", "new_hm3", digits=9)
+
+
+@query("component_links", f"WITH RECURSIVE {_POT}, reach AS (SELECT day, r, c, r * 1000 + c AS k FROM pot UNION SELECT a.day, a.r, a.c, b.k FROM reach b JOIN pot a ON a.day = b.day AND {_NEAR8}), lab AS (SELECT day, r, c, min(k) AS k FROM reach GROUP BY ALL), l AS (SELECT a.day, a.k AS p, b.k AS q, count(*) AS n FROM lab a JOIN lab b ON b.day = a.day + 1 AND a.r = b.r AND a.c = b.c GROUP BY ALL) SELECT day, q // 1000 AS next_comp_r, q % 1000 AS next_comp_c, arg_max(p, (n, -p)) // 1000 AS prev_comp_r, arg_max(p, (n, -p)) % 1000 AS prev_comp_c, max(n) AS cells FROM l GROUP BY day, q", on="cells")
+def component_links(df):
+    return W.lineage(connected(df)[1], tile=_TILE)
+
+
+@query("connection_level", f"WITH RECURSIVE w AS (SELECT unnest([20.0, 23.0, 26.0]::DOUBLE[]) AS day), b AS (SELECT r, c, day FROM cells, w WHERE dem < day), pot AS (SELECT day, r, c FROM b WHERE c = 0 UNION SELECT b.day, b.r, b.c FROM pot a JOIN b ON a.day = b.day AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1) SELECT r, c, min(day) AS level FROM pot GROUP BY r, c", on="cells")
+def connection_level(df):
+    return W.connection_level(df.select("r", "c", "dem", "hand"), df.filter("c = 0"), [20.0, 23.0, 26.0], tile=_TILE)
+
+

@@ -1 +1,138 @@
-"""Queries; filled in below."""
+"""Queries of folds, splits, samples, random fields, worlds and time stepping."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.operators import sampling as S
+from gridloom.operators import simulation as X
+from gridloom.plans.cells import rounded
+from gridloom.plans.registry import fixture, query
+
+
+def _lcg(k: str) -> str:
+    return f"((((({k}) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 // 1024)"
+
+
+def _key(*cols: str, seed: int = 1) -> str:
+    h = str(seed)
+    for c in cols:
+        h = _lcg(f"({h} * 31 + {c}) % 2147483648")
+    return h
+
+
+def blocks_of(df):
+    return df.groupBy("block").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+
+
+@query("greedy_folds", None, on="scored")
+def greedy_folds(df):
+    """Deterministic balanced folds; sequential, so tests hold it against a plain loop."""
+    b = blocks_of(df)
+    return S.greedy_folds(b, 5).join(b, "block").groupBy("fold").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("n_blocks"))
+
+
+@query("accepted_split", f"WITH b AS (SELECT block, sum(y) AS pos, count(*) AS n FROM scored GROUP BY block), e AS (SELECT draw, b.*, row_number() OVER (PARTITION BY draw ORDER BY {_key('draw', 'block')}, block) <= ceil(count(*) OVER (PARTITION BY draw) * 0.3) AS test FROM b, (SELECT unnest(range(0, 50)) AS draw)), k AS (SELECT draw FROM e GROUP BY draw HAVING abs(sum(n) FILTER (test) / sum(n) - 0.3) <= 0.02 AND abs(sum(pos) FILTER (test) / sum(pos) - 0.3) <= 0.02) SELECT draw, block, test FROM e WHERE draw = (SELECT min(draw) FROM k)", on="scored")
+def accepted_split(df):
+    return S.accepted_split(blocks_of(df), 50, 0.3, 0.02)
+
+
+@query("inner_folds", f"SELECT block, (row_number() OVER (ORDER BY {_key('block')}, block) - 1) % 4 AS fold FROM (SELECT DISTINCT block FROM scored)", on="scored")
+def inner_folds(df):
+    return S.inner_folds(df, "block", 4)
+
+
+@query("stratified_sample", f"SELECT id, stratum FROM scored QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY {_key('id')}, id) <= 20", on="scored")
+def stratified_sample(df):
+    return S.stratified(df, ["stratum"], 20, S.key(F.col("id")), "id").select("id", "stratum")
+
+
+@query("uniform_sample", f"SELECT id FROM (SELECT id FROM scored ORDER BY {_key('id', seed=3)}, id LIMIT 100)", on="scored")
+def uniform_sample(df):
+    return S.uniform(df, 100, S.key(F.col("id"), seed=3), "id").select("id")
+
+
+@query("weighted_oversample", f"SELECT id, y FROM (SELECT id, y FROM scored ORDER BY round(ln(CASE WHEN y = 1 THEN 4 ELSE 1 END) - ln(-ln((({_key('id', seed=5)}) % 1048576 + 0.5) / 1048576)), 9) DESC, id LIMIT 200)", on="scored")
+def weighted_oversample(df):
+    weight = F.when(F.col("y") == 1, 4).otherwise(1)
+    return S.oversample(df, 200, weight, S.unit(S.key(F.col("id"), seed=5)), "id").select("id", "y")
+
+
+@query("pass_hold_out", "WITH p AS (SELECT orbit, row_number() OVER (ORDER BY orbit) - 1 AS k FROM (SELECT DISTINCT orbit FROM sar)) SELECT 'leave_one_out' AS scheme, orbit, k AS fold FROM p UNION ALL SELECT 'k_fold', orbit, k % 2 FROM p", on="sar")
+def pass_hold_out(df):
+    return S.hold_out(df, "orbit", 2)
+
+
+@query("latin_hypercube", f"WITH i AS (SELECT unnest(range(0, 200)) AS id) SELECT id, round((row_number() OVER (ORDER BY {_key('id', seed=1)}, id) - 1 + {_key('id', seed=14)} % 1024 / 1024) / 200, 9) AS u0, round(exp(ln(0.03) + (row_number() OVER (ORDER BY {_key('id', seed=102)}, id) - 1 + {_key('id', seed=591)} % 1024 / 1024) / 200 * (ln(0.15) - ln(0.03))), 9) AS roughness FROM i")
+def latin_hypercube(spark, sf):
+    x = S.latin_hypercube(spark.range(200), 200, 2)
+    return rounded(x.select("id", "u0", S.log_uniform(F.col("u1"), 0.03, 0.15).alias("roughness")), "u0", "roughness", digits=9)
+
+
+@query("normal_emulator", "WITH h AS (SELECT floor(dem)::INT AS b, count(*) AS n FROM cells GROUP BY ALL), l AS (SELECT unnest([18.0, 22.0, 26.0]::DOUBLE[]) AS level), z AS (SELECT level, n, (level - b - 0.5) / 1.5 AS x FROM h, l), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(x)) AS t FROM z), p AS (SELECT level, n, x, exp(-x * x / 2) / 2.5066282746310002 * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS u FROM t) SELECT level, round(sum(n * CASE WHEN x >= 0 THEN 1 - u ELSE u END), 6) AS expected FROM p GROUP BY level", on="cells")
+def normal_emulator(df):
+    """Expected cells under a level with normal terrain error, from a histogram of heights."""
+    h = df.groupBy(F.floor("dem").cast("int").alias("b")).agg(F.count("*").alias("n")).withColumn("level", F.explode(F.array(F.lit(18.0), F.lit(22.0), F.lit(26.0))))
+    p = S.normal_cdf((F.col("level") - F.col("b") - 0.5) / 1.5)
+    return rounded(h.groupBy("level").agg(F.sum(F.col("n") * p).alias("expected")), "expected")
+
+
+@query("covariance_models", "SELECT h, round(exp(-h / 500), 9) AS exponential, round(exp(-(h / 500) * (h / 500)), 9) AS gaussian, round(CASE WHEN h < 500 THEN 1 - 1.5 * h / 500 + 0.5 * pow(h / 500, 3) ELSE 0 END, 9) AS spherical FROM (SELECT unnest(range(0, 2000, 100))::DOUBLE AS h)")
+def covariance_models(spark, sf):
+    h = F.col("h")
+    x = spark.range(0, 2000, 100).select(F.col("id").cast("double").alias("h")).select("h", *(X.covariance(h, 500.0, m).alias(m) for m in X.MODELS))
+    return rounded(x, *X.MODELS, digits=9)
+
+
+@query("perturbed_heights", None)
+def perturbed_heights(spark, sf):
+    """Heights of 20 draws, as the spread of each node's last day: deterministic whatever the partitions."""
+    from gridloom.operators.timeseries import fill
+    from gridloom.plans.series import spine
+
+    f = fill(spine(fixture(spark, sf, "node_day")), "node", "day", "h")
+    f = f.select("node", F.datediff("day", F.lit("2024-01-01").cast("date")).alias("day_no"), F.col("filled").alias("h"), "kind", "gap").withColumn("run", F.col("day_no") - F.col("gap"))
+    x = X.perturbed_heights(f, spark.range(20).withColumnRenamed("id", "draw"))
+    return x.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.avg(F.col("h_draw") - F.col("h")), 6).alias("shift"), F.round(F.stddev_pop(F.col("h_draw") - F.col("h")), 6).alias("spread"))
+
+
+@query("correlated_fields", None)
+def correlated_fields(spark, sf):
+    """Statistics of four fields: unit variance and the model's correlation at one range."""
+    f = X.correlated_fields(spark.range(4).withColumnRenamed("id", "draw"), 64, 64, 20.0, [(1.0, 100.0, "exponential")])
+    lag = f.join(f.select("draw", "r", (F.col("c") - 5).alias("c"), F.col("f").alias("g")), ["draw", "r", "c"])
+    return lag.groupBy("draw").agg(F.round(F.stddev_pop("f"), 6).alias("sd"), F.round(F.corr("f", "g"), 6).alias("rho"))
+
+
+@query("ensemble_worlds", None)
+def ensemble_worlds(spark, sf):
+    cells, levels = X.synthetic_domain(spark, 30, 60, 8)
+    return X.worlds(cells, levels, 6, tile=16)
+
+
+@query("storage_cells", None)
+def storage_cells(spark, sf):
+    runs = spark.range(4).select(F.col("id").alias("run"), (0.03 + 0.02 * F.col("id")).alias("roughness"))
+    return X.storage_cells(runs).withColumn("depth", F.round("depth", 6))
+
+
+@query("weir_reservoir", None)
+def weir_reservoir(spark, sf):
+    runs = spark.range(3).select(F.col("id").alias("run"), F.lit(8.8).alias("crest"), (1.4 + 0.1 * F.col("id")).alias("coefficient"), F.lit(30.0).alias("width"))
+    return X.weir_reservoir(runs).groupBy("run").agg(F.round(F.max("level"), 6).alias("highest"), F.round(F.max_by("level", "step"), 6).alias("last"))
+
+
+@query("saddle_level", "WITH RECURSIVE lv AS (SELECT DISTINCT dem AS level FROM cells), b AS (SELECT r, c, dem, level FROM cells, lv WHERE dem <= level), reach AS (SELECT level, r, c FROM b WHERE c = 0 UNION SELECT b.level, b.r, b.c FROM reach a JOIN b ON a.level = b.level AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1) SELECT 0::BIGINT AS zone, min(level) AS saddle FROM reach WHERE c = 39", on="cells")
+def saddle_level(df):
+    """Lowest level that links the first column to the last."""
+    x = df.select(F.lit(0).cast("long").alias("zone"), "r", "c", "dem", (F.col("c") == 0).alias("seed"), (F.col("c") == 39).alias("target"))
+    return X.saddle(x, ["zone"])
+
+
+@query("variogram_fit", None)
+def variogram_fit(spark, sf):
+    from gridloom.plans.relations import variogram_pairs
+
+    v = variogram_pairs(spark, sf).groupBy("lag").agg(F.count("*").alias("n"), F.avg(0.5 * F.col("dr") ** 2).alias("g")).orderBy("lag").collect()  # a row per lag
+    nugget, sill, reach = X.fit_exponential([250.0 * r.lag + 125 for r in v], [r.g for r in v], [r.n for r in v])
+    return spark.createDataFrame([(round(nugget, 4), round(sill, 4), round(reach, 2))], "nugget double, sill double, range_m double")

@@ -53,7 +53,7 @@ def packed_masks(df: DataFrame, bits: str, key: list[str], width: int) -> DataFr
 
 def esri_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
     """An ESRI ASCII grid as cells (r, c, z) and its header. The sentinel becomes NULL; one file is one array of lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\r?\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\r?\n").alias("l"))
     head = {k.lower(): float(v) for k, v in (x.split() for x in lines.select(F.explode(F.slice("l", 1, 6))).toPandas().iloc[:, 0])}  # six lines
     rows = lines.select(F.posexplode(F.slice("l", 7, F.size("l"))).alias("r", "line"))
     z = rows.select("r", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("c", "z")).withColumn("z", F.col("z").cast("double"))

@@ -6,8 +6,8 @@ n-gram vectors, a language bundles its texts, and a text gets the language with
 profiles share. Vectors come from a counter-based generator, so every worker has the same ones without a broadcast.
 
 Bundling is linear, so a language's profile is the sum over its distinct n-grams of count times vector, and partial profiles
-of batches add up exactly (integers). The driver gets one profile per partition and language; `most_languages` bounds
-their number and an input with more raises an error.
+of partitions are integers that one groupBy adds up exactly. The driver gets one profile per language; `most_languages`
+bounds their number and an input with more raises an error.
 
 Defined results: null texts and texts without a letter are 'und' with score 0; with nothing to learn from every text is 'und';
 equal cosines go to the language that sorts first; repeated rows and other columns change nothing but counts.
@@ -125,11 +125,13 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int, size: int) -> Iterator[
 def learn(df: DataFrame, lang: Column, text: Column, n: int = 3, size: int = 1024, most_languages: int = 512) -> tuple[list[str], np.ndarray]:
     """Language names in order and their unit profiles. Every row of df with a language counts."""
     rows = df.select(lang.alias("lang"), text.alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    parts = rows.mapInArrow(lambda b: _profiles(b, n, size), "lang string, profile array<long>")
+    places = parts.select("lang", F.posexplode("profile").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
     sums: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(lambda b: _profiles(b, n, size), "lang string, profile array<long>").toLocalIterator():
-        sums[r.lang] = sums.get(r.lang, 0) + np.array(r.profile, np.int64)
-        if len(sums) > most_languages:
-            raise ValueError(f"more than {most_languages} languages; raise most_languages")
+    for r in places.limit(most_languages * size + 1).collect():  # bounded: a row per language and place
+        sums.setdefault(r.lang, np.zeros(size, np.int64))[r["at"]] = r.v
+    if len(sums) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages")
     names = sorted(k for k, v in sums.items() if np.any(v))
     profiles = np.array([sums[k] for k in names], np.float64).reshape(len(names), size)
     profiles /= np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)

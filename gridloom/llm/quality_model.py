@@ -5,7 +5,7 @@ of square roots bring them near normal. Each class has its mean and a covariance
 of both classes together; its Cholesky factor is inverted once and shipped. A score is the logistic of the difference of Mahalanobis log-densities plus
 the log prior ratio, tempered, since the statistics are not quite normal.
 
-Sums for means and covariances are made per partition and added on the driver: two small matrices per partition.
+Sums for means and covariances are made per partition and added by one groupBy; the driver gets two small matrices.
 
 Defined results: null and empty texts have zero statistics and get a score like any other; rows without a label, or whose id
 is in the held-out fold, teach nothing; an id with several labels teaches with each; with fewer than two classes every score is
@@ -166,10 +166,12 @@ def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     """Learns from labelled rows outside the held-out fold, all of them."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label IN (0, 1)")
     rows = features.filter("NOT held_out").join(known, "doc_id").select("label", "x")
-    parts: dict[int, list[np.ndarray]] = {}
-    for r in rows.mapInArrow(_sums, "label int, sums array<double>").toLocalIterator():
-        parts.setdefault(r.label, []).append(np.array(r.sums))
-    return fit({c: np.sum(sorted(v, key=lambda a: a.tolist()), axis=0) for c, v in parts.items()})
+    parts = rows.mapInArrow(_sums, "label int, sums array<double>").select("label", F.posexplode("sums").alias("at", "v"))
+    sums: dict[int, np.ndarray] = {}
+    width = len(FEATURES)
+    for r in parts.groupBy("label", "at").agg(F.sum("v").alias("v")).collect():  # bounded: two rows per entry of the sums
+        sums.setdefault(r.label, np.zeros(1 + width + width * width))[r["at"]] = r.v
+    return fit(sums)
 
 
 def score(features: DataFrame, model: Model, least: float = 0.3) -> DataFrame:

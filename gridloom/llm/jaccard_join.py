@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.components import components
 from gridloom.llm.shared import stage
 from gridloom.llm.textarrays import mix, pieces, shingles, utf8, words
+from gridloom.operators.components import star_components
 
 _NULL_ID = np.iinfo(np.int64).min
 _BINS = 40
@@ -61,7 +61,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int, hashes: int) -> I
     for batch in batches:
         ids = batch.column(0).to_numpy()
         buf, off = utf8(batch.column(1))
-        for i, j in pieces(off):
+        for i, j in pieces(off, 1 << 20):
             word, first, _, _ = words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             some = np.diff(first) > 0
             # Order-dependent sums of mixed words: equal exactly for equal word sequences, up to 128-bit chance.
@@ -124,6 +124,22 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
+def _slices(t: pa.Table, most: int = 4 << 20) -> Iterator[pa.Table]:
+    """t in parts of whole groups with at most `most` bytes of text each; a larger group is a part of its own, and blocks bound it."""
+    import pyarrow.compute as pc
+
+    key, bi, bj = (t.column(c).to_numpy() for c in ("key", "bi", "bj"))
+    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+    size = np.add.reduceat(pc.fill_null(pc.binary_length(t.column("text")), 0).to_numpy().astype(np.int64), start)
+    at, held = 0, 0
+    for s, n in zip(start.tolist(), size.tolist(), strict=True):
+        if held and held + n > most:
+            yield t.slice(at, s - at).combine_chunks()
+            at, held = s, 0
+        held += n
+    yield t.slice(at).combine_chunks()
+
+
 def _first_matches(t: pa.Table, trees: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of each group whose first common key is this group's: all of a block, or one of each of two blocks."""
     key, bi, bj, side, tree = (t.column(c).to_numpy() for c in ("key", "bi", "bj", "side", "tree"))
@@ -215,7 +231,7 @@ _LINKS = "node long, root long, links long, similar array<long>"
 
 
 def _verify(batches: Iterator[pa.RecordBatch], trees: int, width: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for t in _whole_groups(batches):
+    for t in (part for whole in _whole_groups(batches) for part in _slices(whole)):
         i, j = _first_matches(t, trees)
         if not len(i):
             continue
@@ -317,7 +333,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
-    roots = components(links.filter("node > root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    roots = star_components(links.filter("node > root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = reps.select("fa", "fb", "node", "n_copies").join(roots, "node", "left").join(counts, "node", "left")
     classes = stage(classes.select("fa", "fb", F.col("node").alias("copy_of"), F.coalesce("root", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")

@@ -3,25 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from gridloom.staging import shared_dir, stage
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only where that setting is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "gridloom-shared")
-    return f"{base.rstrip('/')}/gridloom/{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["local_path", "map_bytes", "shared_dir", "stage", "write_bytes"]
 
 
 def local_path(uri: str) -> str | None:

@@ -67,7 +67,7 @@ def erosion_disconnect(df):
 
 @query("dilate_four", f"WITH {_LOW} SELECT DISTINCT a.r, a.c FROM cells a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1", on="cells")
 def dilate_four(df):
-    return O.dilate(low(df), 4, ny=40, nx=40)
+    return O.dilate(low(df), 4).join(df, ["r", "c"], "left_semi")
 
 
 @query("erode_eight", f"WITH {_LOW} SELECT a.r, a.c FROM m a JOIN m b ON {_NEAR8} GROUP BY a.r, a.c HAVING count(*) = 9", on="cells")
@@ -77,7 +77,7 @@ def erode_eight(df):
 
 @query("water_edge", f"WITH {_LOW}, d AS (SELECT DISTINCT a.r, a.c FROM cells a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1), e AS (SELECT a.r, a.c FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1 GROUP BY a.r, a.c HAVING count(*) = 5) SELECT r, c FROM d EXCEPT SELECT r, c FROM e", on="cells")
 def water_edge(df):
-    return O.boundary(low(df), ny=40, nx=40)
+    return O.boundary(low(df)).join(df, ["r", "c"], "left_semi")
 
 
 @query("distance_transform", "WITH s AS (SELECT r AS sr, c AS sc FROM cells WHERE dem < 18), d AS (SELECT r, c, min(sqrt((r - sr) ** 2 + (c - sc) ** 2)) * 20 AS d FROM cells, s GROUP BY r, c) SELECT r, c, round(CASE WHEN d <= 120 THEN d END, 6) AS distance FROM d", on="cells")
@@ -85,7 +85,7 @@ def distance_transform(df):
     return rounded(O.distance_to(df.select("r", "c"), df.filter("dem < 18"), 120.0, 20.0), "distance")
 
 
-@query("buffer_mask", "WITH t AS (SELECT r, c FROM cells WHERE r // 10 = 1 AND c // 10 = 1), d AS (SELECT a.r, a.c, min(sqrt((a.r - t.r) ** 2 + (a.c - t.c) ** 2)) AS d FROM cells a, t GROUP BY a.r, a.c) SELECT r, c FROM d WHERE d >= 7", on="cells")
+@query("buffer_mask", "WITH t AS (SELECT r, c FROM cells WHERE r // 10 = 1 AND c // 10 = 1) SELECT r, c FROM cells a WHERE NOT EXISTS (SELECT 1 FROM t WHERE sqrt((a.r - t.r) ** 2 + (a.c - t.c) ** 2) < 7)", on="cells")
 def buffer_mask(df):
     """Training cells at least a buffer away from every test cell."""
     test = df.filter("r div 10 = 1 AND c div 10 = 1").select("r", "c")

@@ -10,7 +10,7 @@ from gridloom.plans.registry import query
 
 
 def labelled(df):
-    return df.select("r", "c", "dem", "hand", "score", F.col("n").cast("double").alias("n"), (F.col("dem") + F.col("ground") < 27).cast("int").alias("y"), (F.floor(F.col("r") / 10) % 2).cast("int").alias("outer"), (F.floor(F.col("c") / 10) % 2).cast("int").alias("inner"))
+    return df.select("r", "c", "dem", "hand", "score", F.col("n").cast("double").alias("n"), (F.col("dem") + F.col("ground") < 27).cast("int").alias("y"), (F.floor(F.col("r") / 10) % 2).cast("int").alias("outer"), (F.floor(F.col("r") / 5) % 2).cast("int").alias("inner"))
 
 
 @query("forest_out_of_fold", None, on="cells")

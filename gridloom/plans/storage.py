@@ -31,7 +31,7 @@ def merged_catalogue(spark, sf):
 @query("packed_mask_round_trip", "SELECT r::INT AS r, c::INT AS c, dem < 24.5 AS value FROM cells", on="cells")
 def packed_mask_round_trip(df):
     bits = K.packed_bits(df.withColumn("k", F.lit(1)), ["k"], F.col("dem") < 24.5, 40)
-    return R.packed_masks(bits, "bits", ["k"], 40).select("r", "c", "value")
+    return R.packed_masks(bits, "bits", ["k"], 40).select("r", "c", "value").join(df.select(F.col("r").cast("int"), F.col("c").cast("int")), ["r", "c"], "left_semi")
 
 
 @query("index_store_round_trip", "SELECT scene, line, round(round_even(b08 * 10000, 0) / 10000, 4) AS b08 FROM stack WHERE r BETWEEN 10 AND 19", on="stack")

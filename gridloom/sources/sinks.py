@@ -59,6 +59,9 @@ def packed_bits(df: DataFrame, keys, value: Column, width: int) -> DataFrame:
     at = F.col("r") * width + F.col("c")
     bit = F.when(value, F.pow(F.lit(2.0), 7 - F.col("_at") % 8)).otherwise(0.0)
     byte = df.withColumn("_at", at).groupBy(*keys, F.floor(F.col("_at") / 8).alias("_b")).agg(F.sum(bit).cast("int").alias("_v"))
+    # Bytes without a row are zero bytes; they keep the place of those after them.
+    every = byte.groupBy(*keys).agg(F.max("_b").alias("_m")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "_m")).alias("_b"))
+    byte = every.join(byte, [*keys, "_b"], "left").withColumn("_v", F.coalesce("_v", F.lit(0)))
     rows = F.array_sort(F.collect_list(F.struct("_b", "_v")))
     return byte.groupBy(*keys).agg(F.unhex(F.array_join(F.transform(rows, lambda x: F.lpad(F.hex(x["_v"]), 2, "0")), "")).alias("bits"))
 

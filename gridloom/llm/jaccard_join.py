@@ -61,7 +61,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int, hashes: int) -> I
     for batch in batches:
         ids = batch.column(0).to_numpy()
         buf, off = utf8(batch.column(1))
-        for i, j in pieces(off, 1 << 20):
+        for i, j in pieces(off):
             word, first, _, _ = words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             some = np.diff(first) > 0
             # Order-dependent sums of mixed words: equal exactly for equal word sequences, up to 128-bit chance.
@@ -124,7 +124,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
-def _slices(t: pa.Table, most: int = 4 << 20) -> Iterator[pa.Table]:
+def _slices(t: pa.Table, most: int = 2 << 20) -> Iterator[pa.Table]:
     """t in parts of whole groups with at most `most` bytes of text each; a larger group is a part of its own, and blocks bound it."""
     import pyarrow.compute as pc
 

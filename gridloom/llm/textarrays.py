@@ -46,7 +46,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def pieces(off: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most `most` bytes together; a longer text is a range of its own."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -85,7 +85,7 @@ def bounds(flag: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 4 << 20) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """64-bit hash of the bytes (or small integers) of each span, by differences of one prefix sum."""
     if not len(starts):
         return np.empty(0, np.uint64)

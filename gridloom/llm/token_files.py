@@ -35,7 +35,7 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _NULL_ID = np.iinfo(np.int64).min
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 
 # The classes of the tokenizer's published pre-token pattern, and its contractions.
 _LETTER, _NUMBER, _SPACE, _OTHER, _ODD = range(5)

@@ -51,7 +51,7 @@ class Grams:
 
     def __init__(self, n: int, size: int, most: int = 1 << 15):
         self.n, self.size, self.most = n, size, most
-        self.keys, self.vectors = np.empty(0, np.uint64), np.empty((0, size), np.float32)
+        self.keys, self.vectors = np.empty(0, np.uint64), np.empty((0, size), np.int8)
 
     def vectors_of(self, grams: np.ndarray) -> np.ndarray:
         """grams ascend. Rows of float32, which hold these integers exactly."""
@@ -60,12 +60,12 @@ class Grams:
         if not known.all():
             new = grams[~known]
             if len(self.keys) + len(new) > self.most:
-                self.keys, self.vectors = grams, _gram_vectors(grams, self.n, self.size).astype(np.float32)
+                self.keys, self.vectors = grams, _gram_vectors(grams, self.n, self.size)
             else:
                 into = np.searchsorted(self.keys, new)
                 self.keys, self.vectors = np.insert(self.keys, into, new), np.insert(self.vectors, into, _gram_vectors(new, self.n, self.size), axis=0)
             at = np.searchsorted(self.keys, grams)
-        return self.vectors[at]
+        return self.vectors[at].astype(np.float32)
 
 
 _memory: dict[tuple[int, int], Grams] = {}

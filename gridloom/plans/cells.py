@@ -211,7 +211,7 @@ def bit_flags(df):
 
 @query("bit_or_by_class", "SELECT wc, bit_or((dem < 24)::INT + 2 * (score > 0.4003)::INT) AS flags FROM cells GROUP BY wc", on="cells")
 def bit_or_by_class(df):
-    return df.groupBy("wc").agg(F.bit_or(D.flags({1: F.col("dem") < 24, 2: F.col("score") > 0.4})).alias("flags"))
+    return df.groupBy("wc").agg(F.bit_or(D.flags({1: F.col("dem") < 24, 2: F.col("score") > 0.4003})).alias("flags"))
 
 
 @query("radar_evidence", "SELECT id, CASE WHEN id % 5 = 0 OR s < 0.3 THEN 'S1_UNOBSERVED' ELSE CASE WHEN block % 3 = 0 THEN '' ELSE 'LATER_' END || CASE WHEN block / 40 >= 0.5 THEN 'S1_WATER' WHEN y = 1 AND block / 40 <= 0.1 THEN 'S1_OPEN_SURFACE_NO_WATER' WHEN s >= 0.5 AND block / 40 <= 0.1 THEN 'S1_NO_WATER_SIGNAL_VEGETATED' ELSE 'S1_INCONCLUSIVE' END END AS flag FROM scored", on="scored")

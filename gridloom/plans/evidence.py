@@ -122,11 +122,11 @@ def isolated_components(df):
     return rounded(V.component_rule(x, {"crop": F.avg((F.col("ground") == 1).cast("int")), "flooded": F.bool_or(F.col("wc") == 0)}, rule).drop("flooded"), "crop")
 
 
-@query("depressions", f"WITH RECURSIVE {_LABEL}, k AS (SELECT k, count(*) AS n, 25 - min(dem) AS deepest, bool_or(wc = 1) AS reached, max(dem) AS sill, median(hand) AS level FROM lab JOIN cells USING (r, c) GROUP BY k) SELECT k // 1000 AS comp_r, k % 1000 AS comp_c, n, round(deepest, 6) AS deepest, round(sill, 6) AS sill, round(level, 6) AS level FROM k WHERE n >= 2 AND deepest >= 2 AND reached AND sill > level - 20", on="cells")
+@query("depressions", f"WITH RECURSIVE {_LABEL}, k AS (SELECT k, count(*) AS n, 25 - min(dem) AS deepest, bool_or(wc = 1) AS reached, max(dem) AS sill, median(hand) AS level FROM lab JOIN cells USING (r, c) GROUP BY k) SELECT k // 1000 AS comp_r, k % 1000 AS comp_c, n, round(deepest, 6) AS deepest, round(sill, 6) AS sill, round(level, 6) AS level FROM k WHERE n >= 2 AND deepest >= 2 AND reached AND sill > level - 31", on="cells")
 def depressions(df):
     """Connected low ground that is large, deep and reached, with a rim above the level before."""
     x = C.label(low(df), 8, tile=_TILE).join(df, ["r", "c"])
-    rule = (F.col("n") >= 2) & (F.col("deepest") >= 2) & F.col("reached") & (F.col("sill") > F.col("level") - 20)
+    rule = (F.col("n") >= 2) & (F.col("deepest") >= 2) & F.col("reached") & (F.col("sill") > F.col("level") - 31)
     figures = {"deepest": 25 - F.min("dem"), "reached": F.bool_or(F.col("wc") == 1), "sill": F.max("dem"), "level": F.median("hand")}
     return rounded(V.component_rule(x, figures, rule).drop("reached"), "deepest", "sill", "level")
 

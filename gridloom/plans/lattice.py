@@ -70,9 +70,9 @@ def dilate_four(df):
     return O.dilate(low(df), 4).join(df, ["r", "c"], "left_semi")
 
 
-@query("erode_eight", f"WITH {_LOW} SELECT a.r, a.c FROM m a JOIN m b ON {_NEAR8} GROUP BY a.r, a.c HAVING count(*) = 9", on="cells")
+@query("erode_eight", f"WITH m AS (SELECT r, c FROM cells WHERE dem < 29.5) SELECT a.r, a.c FROM m a JOIN m b ON {_NEAR8} GROUP BY a.r, a.c HAVING count(*) = 9", on="cells")
 def erode_eight(df):
-    return O.erode(low(df), 8)
+    return O.erode(df.filter("dem < 29.5").select("r", "c"), 8)
 
 
 @query("water_edge", f"WITH {_LOW}, d AS (SELECT DISTINCT a.r, a.c FROM cells a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1), e AS (SELECT a.r, a.c FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1 GROUP BY a.r, a.c HAVING count(*) = 5) SELECT r, c FROM d EXCEPT SELECT r, c FROM e", on="cells")

@@ -13,9 +13,9 @@ from gridloom.plans.registry import fixture, query, table
 # --- joins -------------------------------------------------------------------------------------------------------------
 
 
-@query("join_cell_aligned", "WITH m AS (SELECT r, c, median(b08) AS nir FROM stack GROUP BY r, c) SELECT r, c, round(nir, 6) AS nir, dem, ground FROM m JOIN cells USING (r, c)")
+@query("join_cell_aligned", "WITH m AS (SELECT r, c, median(b08) AS nir FROM stack GROUP BY r, c) SELECT r, c, round(nir, 9) AS nir, dem, ground FROM m JOIN cells USING (r, c)")
 def join_cell_aligned(spark, sf):
-    m = fixture(spark, sf, "stack").groupBy("r", "c").agg(F.round(F.median("b08"), 6).alias("nir"))
+    m = fixture(spark, sf, "stack").groupBy("r", "c").agg(F.round(F.median("b08"), 9).alias("nir"))
     return m.join(fixture(spark, sf, "cells").select("r", "c", "dem", "ground"), ["r", "c"])
 
 

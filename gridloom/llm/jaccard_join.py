@@ -5,11 +5,10 @@ text of 1 to 4 words is one shingle). Texts of the same words are one class, kep
 aggregation and never meet in pairs.
 
 The forest has `trees` prefix tries; a representative's label in each is `depth` minima of its shingle hashes, in order.
-Representatives match where a prefix of their labels is equal. Matching starts with whole labels. The links found, weighted by the
-chance that the forest had to find them, tell what share of all links a prefix length catches; while the share
-is below `recall`, the matched prefix is shortened to the longest length that reaches it, at least to the length that reaches
-it for pairs exactly at the threshold. A pair is verified once, in the first tree that matches it, by the exact Jaccard index
-of both sets; matched pairs stay inside a task, which returns a link count per representative and a star of edges.
+Representatives match where a prefix of their labels is equal. Matching starts with whole labels; then the matched prefix is
+shortened to the longest length that catches a share `recall` of the pairs exactly at the threshold, and so at least that share
+of the pairs of any similarity, whatever links were found before. A pair is verified once, in the first tree that matches it, by the exact
+Jaccard index of both sets; matched pairs stay inside a task, which returns a link count per representative and a star of edges.
 
 Buckets of any size are dealt in blocks of `block` members and every pair of blocks is a group of its own, so no task
 holds an unbounded bucket and no pair is left out; the bucket sizes are joined with salted keys.
@@ -272,14 +271,20 @@ def chance(similar, trees: int, length: int):
     return 1 - (1 - similar**length) ** trees
 
 
+def least_length(threshold: float, trees: int, length: int, recall: float) -> int:
+    """The longest prefix, up to `length`, that catches a share `recall` of the pairs at the threshold itself."""
+    return max([1, *(k for k in range(1, length + 1) if chance(threshold, trees, k) >= recall)])
+
+
 def next_length(found: np.ndarray, threshold: float, trees: int, length: int, recall: float) -> int:
     """The longest prefix that catches a share `recall` of all links, judged by those found at this length; `length` if it does.
 
     found: links by similarity, in equal bins from the threshold to 1. One link at the threshold is added, so that nothing found
-    means the worst case, not the best. The floor is the length that reaches `recall` at the threshold itself.
+    means the worst case, not the best. The floor is the length that reaches `recall` at the threshold itself. The mean over all links
+    says nothing about the weak ones among many strong ones, so the join does not stop by it.
     """
     middle = threshold + (np.arange(len(found)) + 0.5) / len(found) * (1 - threshold)
-    floor = max([1, *(k for k in range(1, length + 1) if chance(threshold, trees, k) >= recall)])
+    floor = least_length(threshold, trees, length, recall)
     there = found / chance(middle, trees, length)
     for k in range(length, floor, -1):
         share = ((there * chance(middle, trees, k)).sum() + chance(threshold, trees, k)) / (there.sum() + 1)
@@ -303,8 +308,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counts = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return rows.withColumn("salt", F.pmod("node", F.lit(salts)).cast("int")).join(counts, ["key", "salt"]).drop("salt"), keyed.select("node", "seen")
 
-    found, done, length, total = [], (), depth, np.zeros(_BINS)
-    while True:
+    found, done = [], ()
+    for length in sorted({depth, least_length(threshold, trees, depth, recall)}, reverse=True):
         members, seen = buckets(length, done)
         members = stage(members, "members")
         blocks = F.ceil(F.col("c") / block).cast("int")
@@ -324,12 +329,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         heavy = together(needed.join(texts, needed.node == texts.id).select(needed["*"], "text"))
         links = stage(heavy.mapInArrow(lambda b: _verify(b, trees, width, threshold), _LINKS), "links")
         found.append(links)
-        seen_bins = {r.b: r.n for r in links.filter("similar IS NOT NULL").select(F.posexplode("similar").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect()}
-        total = _sum_bins(total, seen_bins)
-        shorter = next_length(total, threshold, trees, length, recall)
-        if shorter >= length:
-            break
-        done, length = (*done, length), shorter
+        done = (*done, length)
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
@@ -339,10 +339,3 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = stage(classes.select("fa", "fb", F.col("node").alias("copy_of"), F.coalesce("root", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     back = lambda c: F.when(F.col(c) != int(_NULL_ID), F.col(c)).alias({"id": "doc_id"}.get(c, c))
     return signed.select("id", "fa", "fb").join(classes, ["fa", "fb"]).select(back("id"), back("class_id"), back("copy_of"), "n_copies", "n_links")
-
-
-def _sum_bins(total: np.ndarray, more: dict[int, int]) -> np.ndarray:
-    out = total.copy()
-    for b, n in more.items():
-        out[b] += n
-    return out

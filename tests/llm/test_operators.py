@@ -97,6 +97,29 @@ def test_prefix_length_follows_what_is_found():
     assert jaccard_join.chance(0.8, 20, jaccard_join.next_length(np.zeros(40), 0.8, 20, 8, 0.9995)) >= 0.9995
 
 
+def test_jaccard_join_finds_weak_links_beside_many_strong_ones(spark):
+    import random
+
+    rng = random.Random(11)
+    strong = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(90):  # thousands of links above 0.95
+        w = list(strong)
+        w[4 * k + 10] = f"x{k}"
+        texts.append((k, " ".join(w)))
+    for k in range(250):  # a pair each, just above 0.8
+        w = [f"p{k}v{rng.randint(0, 10**9)}" for _ in range(104)]
+        texts.append((1000 + 2 * k, " ".join(w)))
+        for at in (20, 50):
+            w[at] = f"y{k}"
+        texts.append((1001 + 2 * k, " ".join(w)))
+    _, links = brute_links([x for x in texts if x[0] >= 1000][:20])
+    assert all(len(v) == 1 for v in links.values()) and len(links) == 20
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[k] == 89 for k in range(90))
+    assert [k for k in got if k >= 1000 and got[k] != 1] == []
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,9 @@ cumulative targets to a source, so every stretch of the schedule holds each sour
 their source; the k-th takes the k-th block of the source's stream, which is its documents in shuffled order, again
 and again, cut into blocks of equal words. Documents and slots meet by (source, block).
 
+The schedule gives a source a few slots more or less than its target asks for. For a source whose target is under `few` slots
+that is too much: it gets the slots that it lacks, and its stream is cut at its rounded target, so even a target under one block is taken whole.
+
 Positions within a source are prefix sums in two levels (sums of hash buckets, then rows inside one bucket), and ranks of slots
 likewise, so a source with a third of all rows is spread over as many tasks as it has buckets.
 
@@ -72,9 +75,9 @@ def by_rank(weights: tuple[int, ...] = WEIGHTS) -> Column:
     return F.element_at(F.array(*(F.lit(w) for w in weights)), (at + 1).cast("int")).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, least_slots: int = 1 << 16, most_passes: int = 3, bucket_rows: int = 4096, seed: int = 17) -> Mix:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, least_slots: int = 1 << 16, most_passes: int = 3, bucket_rows: int = 4096, seed: int = 17, few: int = 512) -> Mix:
     """The whole mix; its length is the size of all documents. The schedule has at least `least_slots` slots and 1024 per source,
-    so that a source's words differ from its target by a few slots at every scale."""
+    so that a source's words differ from its target by a few slots at every scale; below `few` slots they equal the rounded target."""
     text = F.col(f"`{text_col}`")
     docs = df.select(
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), n_words(text).alias("_size"),
@@ -97,7 +100,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = placed.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     placed = placed.join(base, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     placed = placed.select("_id", "_source", "_hash", "_size", F.col("size").alias("_source_size"), F.col("target").alias("_target"), (F.col("_base") + F.col("_inside")).alias("_at"))
-    return Mix(placed, sources, _pieces(placed, _slots(sources, block), block, most_passes))
+    return Mix(placed, sources, _pieces(placed, _slots(sources, block, few), block, most_passes, few))
 
 
 def _running(sums: DataFrame, key: str, value: str, out: str, wide: int = 1024) -> DataFrame:
@@ -112,7 +115,7 @@ def _running(sums: DataFrame, key: str, value: str, out: str, wide: int = 1024)
     return s.withColumn(out, F.col("_own") + F.col("_before")).drop("_us", "_uh", "_hi", "_own", "_before")
 
 
-def _slots(sources: DataFrame, block: int, cells: int = 1024) -> DataFrame:
+def _slots(sources: DataFrame, block: int, few: int, cells: int = 1024) -> DataFrame:
     """The schedule: slot, _source, rank of the slot within its source (from 0), and the source's size."""
     spark = sources.sparkSession
     total = sources.agg(F.sum("size").alias("t")).first().t or 0
@@ -133,14 +136,22 @@ def _slots(sources: DataFrame, block: int, cells: int = 1024) -> DataFrame:
     base = _running(counts, "_chunk", "_n", "_base").select(F.col("_source").alias("_cs"), F.col("_chunk").alias("_cc"), "_base")
     own = F.row_number().over(Window.partitionBy("_source", "_chunk").orderBy("slot")) - 1
     ranked = chunk.withColumn("_own", own).join(base, F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_chunk") == F.col("_cc")))
-    return ranked.select("slot", "_source", "_z", (F.col("_own") + F.col("_base")).alias("rank"))
+    ranked = ranked.select("slot", "_source", "_z", (F.col("_own") + F.col("_base")).alias("rank"))
+    # Slots that a small source lacks, each where an even spread of its ranks has it; they share the number of a slot there.
+    have = counts.groupBy("_source").agg(F.sum("_n").alias("_have")).withColumnRenamed("_source", "_hs")
+    small = sources.filter(F.col("target") < few * block).withColumn("_need", F.ceil(F.round("target") / block)).join(have, F.col("source").eqNullSafe(F.col("_hs")), "left")
+    small = small.withColumn("_have", F.coalesce("_have", F.lit(0))).filter("_need > _have").withColumn("rank", F.explode(F.sequence("_have", F.col("_need") - 1)))
+    shift = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
+    more = small.select(F.floor((F.col("rank") + shift) / F.col("_need") * n).alias("slot"), F.col("source").alias("_source"), F.col("size").alias("_z"), "rank")
+    return ranked.unionByName(more)
 
 
-def _pieces(placed: DataFrame, slots: DataFrame, block: int, most_passes: int) -> DataFrame:
+def _pieces(placed: DataFrame, slots: DataFrame, block: int, most_passes: int, few: int) -> DataFrame:
     """Every stretch of a document that a slot takes: _source, _at (which name the row), slot, words."""
     each = placed.filter("_size > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(most_passes - 1))))
     start = F.col("_pass") * F.col("_source_size") + F.col("_at")
-    each = each.withColumn("_start", start).withColumn("_end", start + F.col("_size"))
+    goal = F.when(F.col("_target") < few * block, F.round("_target").cast("long"))
+    each = each.withColumn("_start", start).withColumn("_end", F.least(start + F.col("_size"), goal)).filter("_start < _end")
     each = each.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))))
     each = each.select("_source", "_at", "_pass", "_block", "_start", "_end")
     met = each.join(slots.select(F.col("_source").alias("_ss"), F.col("rank"), "slot"), F.col("_source").eqNullSafe(F.col("_ss")) & (F.col("_block") == F.col("rank")))

@@ -146,6 +146,17 @@ def test_mixing(docs, rows):
     assert key(got) == key(again)
 
 
+def test_mixing_takes_small_sources_to_their_targets(spark):
+    big = [(k, "w " * 500_000, "big") for k in range(4)]
+    small = [(100 + 10 * s + k, "a b c d e", f"small{s}") for s in range(12) for k in range(s + 1)]
+    df = spark.createDataFrame([*big, *small, (300, "one two", None)], "doc_id long, text string, source string")
+    got = mixing.taken(mixing.mix(df, least_slots=1024)).groupBy("_source").agg(F.sum("_taken").alias("t"), F.max("_target").alias("target"), F.max("_source_size").alias("z"), F.count("*").alias("n")).collect()
+    assert len(got) == 14 and sum(r.n for r in got) == 4 + 78 + 1
+    for r in got:
+        assert r.target <= 3 * r.z
+        assert abs(r.t - r.target) <= (0.005 * r.target if r._source == "big" else 0.5), r
+
+
 def test_mixing_empty(no_docs):
     assert mixing.taken(mixing.mix(no_docs)).count() == 0
 

@@ -8,7 +8,8 @@ which is the prefix sum of the ids of all parts before it. Parts hold ascending
 Byte-level BPE never merges across pre-tokens, so a text is cut into pre-tokens with array operations, each distinct pre-token
 goes through the library's BPE model once per worker, and ids are gathered by index; this gives the ids of the library's
 encode of the whole text (tested). A text with a code point that the running Python and the library may class differently
-(outside assigned blocks below U+0590 and common punctuation) is encoded whole by the library.
+(outside assigned blocks below U+0590 and common punctuation), or that holds the content of a token added to the vocabulary, is encoded
+whole by the library.
 
 Defined results: null and empty texts are the end id alone; equal document ids stay next to one another, in order of their text; a null id
 sorts first and is read back as null; an empty table gives an empty manifest; other columns are ignored.
@@ -106,7 +107,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values() if x.content]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kinds = _classes()
         self.spelling = _spelling()
@@ -147,7 +148,7 @@ class Encoder:
         pos = heads[off]
         n = len(off) - 1
         kind = self.kinds[cp]
-        if len(cp) != pos[-1] or (kind == _ODD).any():
+        if len(cp) != pos[-1] or (kind == _ODD).any() or any(x in text for x in self.added):
             if n == 1:
                 ids = self.whole(text)
                 return ids, np.array([0, len(ids)])

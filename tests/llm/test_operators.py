@@ -362,6 +362,22 @@ def test_pre_tokens_equal_the_library():
         assert ids[at[k] : at[k + 1]].tolist() == coder.whole(t).tolist(), t
 
 
+def test_added_tokens_equal_the_plain_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "plain text", "<|endoftext|>", "ends <|endof", "text|> begins", "<|endoftext|> <|endoftext|>é\n", None, "last"]
+    folder = f"{shared_dir(spark)}/added"
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, path)
+    got = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)
+    start = 0
+    for r, t in zip(got, texts, strict=True):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes())), t
+        start += len(ids)
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------------
 
 

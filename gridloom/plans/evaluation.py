@@ -130,6 +130,13 @@ def convergence(df):
     return rounded(E.convergence(df.filter("region = 1"), "area", [10, 20, 40]), "p05", "p50", "p95")
 
 
+@query("convergence_whole", None, on="draws")
+def convergence_whole(df):
+    """convergence of each region."""
+    each = df.withColumn("at", F.struct("region", "date"))
+    return rounded(E.convergence(each, "area", [10, 20, 40], date="at").select("n_draws", "at.region", "at.date", "p05", "p50", "p95"), "p05", "p50", "p95")
+
+
 @query("pooled_regions", "WITH p AS (SELECT draw, date, sum(area) AS a FROM draws WHERE region IN (1, 2) GROUP BY ALL) SELECT date, round(quantile_cont(a, 0.05), 6) AS p05, round(quantile_cont(a, 0.95), 6) AS p95 FROM p GROUP BY date", on="draws")
 def pooled_regions(df):
     """Regions summed within a world first: quantiles do not add up."""

@@ -35,7 +35,16 @@ _T = "t AS (SELECT tr, tc, i, j, dem AS s FROM cells, (SELECT unnest([0, 4, 8])
 
 @query("blended_tiles", f"WITH {_T}, w AS (SELECT *, pow(sin(pi() * (i + 0.5) / 8), 2) * pow(sin(pi() * (j + 0.5) / 8), 2) AS w FROM t) SELECT tr + i AS r, tc + j AS c, round(sum(s * w) / sum(w), 6) AS score FROM w GROUP BY 1, 2", on="cells")
 def blended_tiles(df):
-    starts = F.array(F.lit(0), F.lit(4), F.lit(8))
+    return blend(df, F.array(F.lit(0), F.lit(4), F.lit(8)))
+
+
+@query("blended_tiles_whole", None, on="cells")
+def blended_tiles_whole(df):
+    """blended_tiles over the full lattice of 40 x 40 cells."""
+    return blend(df, F.sequence(F.lit(0), F.lit(32), F.lit(4)))
+
+
+def blend(df, starts):
     x = df.withColumn("tr", F.explode(starts)).withColumn("tc", F.explode(starts)).withColumns({"i": F.col("r") - F.col("tr"), "j": F.col("c") - F.col("tc")})
     x = x.filter("i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7").select("tr", "tc", "i", "j", F.col("dem").alias("score"))
     return rounded(L.blended(x, 8), "score")

@@ -63,6 +63,15 @@ def join_scene_pairs(df):
     return a.join(b, ["orbit", "dir"]).groupBy("orbit", "dir").agg(F.count("*").alias("n_pairs"), F.min(F.datediff("event", "pre")).alias("min_gap"))
 
 
+@query("join_scene_pairs_whole", None, on="sar")
+def join_scene_pairs_whole(df):
+    """join_scene_pairs over all cells and months: each side is counted before the join, so no pair is made."""
+    s = df.select("orbit", (F.col("r") % 4).alias("dir"), "win", "day").distinct()
+    side = lambda w: s.filter(F.col("win") == w).groupBy("orbit", "dir").agg(F.count("*").alias(f"n_{w}"), F.min("day").alias(f"first_{w}"), F.max("day").alias(f"last_{w}"))
+    x = side("event").join(side("pre"), ["orbit", "dir"])
+    return x.select("orbit", "dir", (F.col("n_event") * F.col("n_pre")).alias("n_pairs"), F.datediff("first_event", "last_pre").alias("min_gap"))
+
+
 @query("as_of_next_scene", "WITH d AS (SELECT node, day, h FROM node_day), s AS (SELECT DISTINCT node, day AS sday FROM obs WHERE river = 'purchase') SELECT d.node, d.day, s.sday AS scene, (s.sday - d.day)::INT AS lag FROM d ASOF LEFT JOIN s ON d.node = s.node AND d.day <= s.sday")
 def as_of_next_scene(spark, sf):
     d = fixture(spark, sf, "node_day").select("node", "day")
@@ -80,7 +89,17 @@ def as_of_latest_version(spark, sf):
 
 @query("same_season_partner", "WITH a AS (SELECT DISTINCT day, dayofyear(day) AS doy FROM cell_day WHERE r = 1 AND year(day) = 1996), b AS (SELECT DISTINCT day, dayofyear(day) AS doy FROM cell_day WHERE r = 1 AND year(day) = 1995) SELECT a.day, arg_min(b.day, (abs(a.doy - b.doy), b.day)) AS partner FROM a JOIN b ON abs(a.doy - b.doy) <= 12 GROUP BY a.day", on="cell_day")
 def same_season_partner(df):
-    d = df.filter("r = 1").select("day").distinct().withColumn("doy", F.dayofyear("day"))
+    return season_partners(df.filter("r = 1"))
+
+
+@query("same_season_partner_whole", None, on="cell_day")
+def same_season_partner_whole(df):
+    """same_season_partner over the days of all rows of the lattice."""
+    return season_partners(df)
+
+
+def season_partners(df):
+    d = df.select("day").distinct().withColumn("doy", F.dayofyear("day"))
     a = d.filter("year(day) = 1996")
     b = d.filter("year(day) = 1995").select(F.col("day").alias("partner"), F.col("doy").alias("d0"), (F.col("doy") - 12).alias("lo"), (F.col("doy") + 12).alias("hi"))
     near = J.range_join(a, b, "doy", "lo", "hi", 25)

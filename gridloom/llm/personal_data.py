@@ -115,7 +115,7 @@ def _spans(text: Column, kind: str, pattern: str, keep, extra) -> Column:
 
 
 #: A cheap test that a text can hold a match at all.
-_HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[+(][0-9]", "secret": r"(?i)(?:token|secret|passw|key)[\x20]{0,2}[=:]"}
+_HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[+(][0-9]", "secret": r"(?i)(?:token|secret|passw(?:or)?d|key)[\x20]{0,2}[=:]"}
 
 
 def _votes(kind: str, m: Column, left: Column, right: Column) -> list[Column]:

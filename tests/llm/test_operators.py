@@ -223,6 +223,15 @@ def test_personal_data_base_spans(spark):
     assert personal_data.personal_data(df.limit(0)).count() == 0
 
 
+def test_personal_data_finds_secrets_of_every_keyword(spark):
+    words = ["token", "secret", "password", "passwd", "Password", "PASSWD", "api_key", "api-key", "apikey"]
+    texts = [f'x {w}{sep}"abcdefABCDEF0123456789" y' for w in words for sep in ("=", ": ", " = ")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    wide = personal_data._found(F.col("text"))[1]
+    got = df.select("text", F.size(F.filter(wide, lambda x: x["k"] == personal_data.KINDS.index("secret"))).alias("n")).collect()
+    assert {r.text: r.n for r in got} == dict.fromkeys(texts, 1)
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------------
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.joins import neighbours
+from gridloom.operators.joins import neighbours, salted_join
 from gridloom.operators.morphology import FOUR, erode, structure
-from gridloom.staging import stage
+from gridloom.staging import release, stage
 
 
 #: Edges between tiles up to which one process merges them; more go through star_components. Either way is exact.
@@ -41,23 +41,27 @@ def tile_components(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([(x, find(x)) for x in list(parent)], f"node {kind}, root {kind}")
 
 
-def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges: u, v of any orderable type. Result: node, root (the smallest node of its component), for nodes with an edge."""
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    e, before = stage(e, "edges"), None
-    for _ in range(most_rounds):
+def star_components(edges: DataFrame) -> DataFrame:
+    """edges: u, v of any orderable type. Result: node, root (the smallest node of its component), for nodes with an edge.
+
+    Every round joins each node with its least neighbour; a node with very many edges is dealt over many tasks. Rounds go on until the
+    edges stay as they are, which they do once each component is a star.
+    """
+    e = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    before = None
+    while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        rest = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = stage(rest.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-    else:
-        raise RuntimeError(f"components are still open after {most_rounds} rounds")
+        near = stage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = stage(salted_join(both, near, ["u"], "n", 2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        rest = salted_join(large, low, ["u"], "n", 2 * now[0]).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        made = stage(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        release(e, near, large, low)
+        e = made
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

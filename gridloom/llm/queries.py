@@ -133,7 +133,7 @@ FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.r = 1"""
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "first")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,29 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
-from gridloom.staging import shared_dir, stage
+from pyspark.sql import SparkSession
 
-__all__ = ["local_path", "map_bytes", "shared_dir", "stage", "write_bytes"]
+from gridloom.staging import release, shared_dir, stage
+
+__all__ = ["local_path", "map_bytes", "release", "shared_dir", "small_batches", "stage", "write_bytes"]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for the jobs that run inside: both ends of a Python worker hold whole batches."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def local_path(uri: str) -> str | None:

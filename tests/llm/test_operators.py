@@ -88,13 +88,56 @@ def test_jaccard_join_in_small_blocks(spark):
     assert jaccard_join.jaccard_join(df.limit(0)).count() == 0
 
 
-def test_prefix_length_follows_what_is_found():
-    found = np.zeros(40)
-    found[-1] = 10_000  # all links nearly equal texts
-    assert jaccard_join.next_length(found, 0.8, 20, 8, 0.9995) == 8
-    found[0] = 10_000
-    assert jaccard_join.next_length(found, 0.8, 20, 8, 0.9995) < 8
-    assert jaccard_join.chance(0.8, 20, jaccard_join.next_length(np.zeros(40), 0.8, 20, 8, 0.9995)) >= 0.9995
+def test_prefix_is_shortened_to_the_recall_at_the_threshold():
+    k = jaccard_join.least_length(0.8, 20, 8, 0.9995)
+    assert jaccard_join.chance(0.8, 20, k) >= 0.9995 > jaccard_join.chance(0.8, 20, k + 1)
+
+
+def test_jaccard_join_with_clashing_and_null_ids(spark):
+    import random
+
+    rng = random.Random(4)
+    text = lambda: [f"v{rng.randint(0, 10**9)}" for _ in range(120)]
+    near = lambda w, *at: " ".join("other" if i in at else x for i, x in enumerate(w))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, near(a)), (1, near(b)), (2, near(b, 60)), (3, near(a, 5)), (None, near(c)), (None, near(c, 9)), (None, near(d)), (7, near(c).upper()), (None, None), (None, ""), (1, near(b)), (9, "one two"), (None, "ONE, two")]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("k", F.col("text_key")).collect()
+    key = {r.text: r.k for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("k")).collect()}
+    nodes = defaultdict(list)
+    for i, t in rows:
+        nodes[tuple(words_of(t)) or (i, t)].append(i)
+    sets = {w: {w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in nodes if isinstance(w[0], str)}
+    links = {w: [v for v in sets if v != w and len(sets[v] & sets[w]) / len(sets[v] | sets[w]) >= 0.8] for w in sets}
+    want = Counter()
+    for i, t in rows:
+        w = tuple(words_of(t))
+        group = [x for v in (w, *links[w]) for x in nodes[v]] if w else [i]
+        low = lambda ids: min((x for x in ids if x is not None), default=None)
+        want[(i, key[t], low(group), low(nodes[w]) if w else i, len(nodes[w]) if w else 1, len(links[w]) if w else 0)] += 1
+    assert Counter((r.doc_id, r.k, r.class_id, r.copy_of, r.n_copies, r.n_links) for r in got) == want
+    firsts = Counter((r.doc_id, r.k) for r in got if r.first)
+    assert firsts == Counter({(1, key[rows[0][1]]): 1, (1, key[rows[1][1]]): 2, (7, key[rows[7][1]]): 1, (None, key[rows[6][1]]): 1, (None, key[None]): 1, (None, key[""]): 1, (9, key["one two"]): 1})
+
+
+def test_jaccard_join_recall_at_the_threshold(spark):
+    """A thousand pairs between 0.8 and 0.83: at least 0.9 of them must come out, and do with room."""
+    import random
+
+    rng = random.Random(12)
+    texts = []
+    for k in range(1000):
+        w = [f"q{k}v{rng.randint(0, 10**9)}" for _ in range(rng.randint(100, 120))]
+        texts.append((2 * k, " ".join(w)))
+        for at in (30, 70):
+            w[at] = f"z{k}"
+        texts.append((2 * k + 1, " ".join(w)))
+    similar = []
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a[1].split(), b[1].split()))
+        similar.append(len(x & y) / len(x | y))
+    assert 0.8 <= min(similar) and max(similar) < 0.85
+    got = jaccard_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string"), block_shingles=300).filter("n_links = 1").count()
+    assert got >= 0.998 * len(texts)
 
 
 def test_jaccard_join_finds_weak_links_beside_many_strong_ones(spark):

@@ -19,12 +19,13 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def salted_join(many: DataFrame, one: DataFrame, on, weight: str, total: int, how: str = "inner", most_hot: int = 10_000) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, on, weight: str, total: int, how: str = "inner", most_hot: int = 10_000, hint: str | None = None) -> DataFrame:
     """many joined with one on equal, non-null keys that are unique in `one`, however many rows of `many` a key has.
 
     weight: a column of `one`, the rows of `many` that have its key; total: their sum. A key above total / most_hot rows (and above
     10,000) is hot: its row is repeated once per share of that size and its rows of `many` are dealt over the shares. At most most_hot
-    keys can be hot, so the list of them, keys and shares alone, is broadcast.
+    keys can be hot, so the list of them, keys and shares alone, is broadcast. hint: a join hint for the main join, where its strategy must
+    not change with the size of `one`.
     """
     on = list(on)
     share = max(10_000, -(-total // most_hot))
@@ -32,7 +33,7 @@ def salted_join(many: DataFrame, one: DataFrame, on, weight: str, total: int, ho
     hot = one.filter(F.col(weight) > share).select(*on, parts.alias("_parts"))
     left = many.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_parts").cast("long")).cast("int"))).drop("_parts")
     right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint(hint) if hint else right, [*on, "_salt"], how).drop("_salt")
 
 
 def as_of(left: DataFrame, right: DataFrame, on: str, value: str, by=(), direction: str = "backward", inclusive: bool = True, out: str | None = None, out_on: str = "matched") -> DataFrame:

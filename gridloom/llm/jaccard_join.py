@@ -298,7 +298,7 @@ def jaccard_join(
 
         wanted = needed.select("node").distinct().join(nodes.select("node", "n_copies", "first.no_id", F.coalesce("first.id", F.lit(0)).alias("own_id"), "first.text_key"), "node")
         texts = docs.withColumns({"no_id": F.col("id").isNull(), "own_id": F.coalesce("id", F.lit(0))})
-        texts = salted_join(texts, stage(wanted, "wanted"), ["no_id", "own_id", "text_key"], "n_copies", total).groupBy("node").agg(F.max("text").alias("text"))
+        texts = salted_join(texts, stage(wanted, "wanted"), ["no_id", "own_id", "text_key"], "n_copies", total, hint="merge").groupBy("node").agg(F.max("text").alias("text"))
         heavy = together(needed.join(texts, "node"))
         links = stage(heavy.mapInArrow(lambda b: _verify(b, buckets, width, threshold), "node long, root long, links long"), "links")
         release(keyed, counts, needed)

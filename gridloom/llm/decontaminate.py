@@ -7,17 +7,20 @@ occurrence, so these runs make up the indexed string; nothing that could match i
 occurrences of all phrases at once, sampled suffix positions locate them, and overlapping occurrences merge into spans.
 
 The benchmark is broadcast in groups of items of at most `most_chars` characters: a small benchmark takes one pass over the
-documents, a larger one a pass per group, whose spans merge afterwards. Nothing is capped.
+documents; for a larger one the rows are numbered in a written table, each group takes a pass, and what the passes found of a row is
+united by its number, so the result is the same for every size of the groups. Nothing is capped.
 
 Defined results: null and empty texts have no words, no hits and no items; a null item id is shown as an empty string;
-repeated rows each get their own result; equal item ids count once; an empty benchmark finds nothing; columns that clash are not touched,
-since the result has only the document id and the struct fields named here.
+repeated rows, rows with equal ids and rows with a null id each get their own result; equal item ids count once; a very long text is a shard
+of its own; an empty benchmark finds nothing; empty tables give empty tables; columns that clash are not touched, since the result has
+only the document id and the struct fields named here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.fm_index import FMIndex
+from gridloom.llm.shared import stage
 from gridloom.llm.textarrays import pieces, utf8, words
 
-RESULT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 class Phrases:
@@ -36,22 +40,21 @@ class Phrases:
     def __init__(self, rows: list[tuple[str, str]], width: int):
         self.ids = sorted({i for i, _ in rows})
         number = {x: k for k, x in enumerate(self.ids)}
-        column = pa.array([t for _, t in rows], pa.large_string())
-        hashes, first, _, _ = words(*utf8(column))
+        hashes, first, _, _ = words(*utf8(pa.array([t for _, t in rows], pa.large_string())))
         self.vocabulary = np.unique(hashes)
-        numbered = np.searchsorted(self.vocabulary, hashes) + 1
-        by: dict[int, dict[tuple, set[int]]] = {}
-        for (item, _), a, b in zip(rows, first[:-1], first[1:], strict=True):
-            w = numbered[a:b].tolist()
-            size = min(width, len(w))
-            for i in range(len(w) - size + 1 if w else 0):
-                by.setdefault(size, {}).setdefault(tuple(w[i : i + size]), set()).add(number[item])
+        numbered = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
+        own = np.array([number[i] for i, _ in rows], np.int64)
+        count = np.diff(first)
+        size = np.minimum(width, count)
         self.by_size = []
-        for size, found in sorted(by.items()):
-            items = [sorted(x) for x in found.values()]
-            counts = np.array([len(x) for x in items])
-            self.by_size.append((np.array(list(found), np.int64).reshape(len(found), size), np.concatenate([[0], np.cumsum(counts)]), np.array([i for x in items for i in x])))
-        self.shortest = self.by_size[0][0].shape[1] if by else 0
+        for n in np.unique(size[size > 0]).tolist():
+            which = np.flatnonzero(size == n)
+            per = count[which] - n + 1
+            at = np.repeat(first[which] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            patterns, same = np.unique(numbered[at[:, None] + np.arange(n)], axis=0, return_inverse=True)
+            pair = np.unique(same.reshape(-1) * len(self.ids) + np.repeat(own[which], per))
+            self.by_size.append((patterns, np.searchsorted(pair // len(self.ids), np.arange(len(patterns) + 1)), pair % len(self.ids)))
+        self.shortest = self.by_size[0][0].shape[1] if self.by_size else 0
 
 
 def scan_shard(numbers: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,10 +83,12 @@ def scan_shard(numbers: np.ndarray, first: np.ndarray, phrases: Phrases) -> tupl
     index = FMIndex(symbols, len(phrases.vocabulary) + 1)
     change = np.zeros(n + 1, np.int64)
     docs, items = [], []
+    present = np.bincount(symbols, minlength=len(phrases.vocabulary) + 1) > 0
     for patterns, item_at, item_of in phrases.by_size:
-        lo, hi = index.search(patterns)
+        possible = np.flatnonzero(present[patterns].all(axis=1))  # the others lack a word here
+        lo, hi = index.search(patterns[possible])
         hits = hi - lo
-        which = np.repeat(np.arange(len(patterns)), hits)
+        which = np.repeat(possible, hits)
         if not len(which):
             continue
         rows = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
@@ -112,8 +117,8 @@ def _numbers(buf: np.ndarray, off: np.ndarray, phrases: Phrases) -> tuple[np.nda
     return np.where(phrases.vocabulary[at] == hashes, at + 1, 0), first
 
 
-def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, found_only: bool) -> Iterator[pa.RecordBatch]:
+    """row, n_words, spans and items of each row, or of those in which something is found."""
     names = pa.array(phrases.ids, pa.string())
     for batch in batches:
         buf, off = utf8(batch.column(1))
@@ -127,7 +132,8 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.Re
             base = first[np.searchsorted(first, start, "right") - 1] if len(start) else start
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(start, first), pa.int32()), pa.StructArray.from_arrays([pa.array(start - base), pa.array(stop - base)], names=["start", "end"]))
             listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(docs, np.arange(len(first))), pa.int32()), names.take(pa.array(items, pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(first)), spans, listed], schema=schema)
+            made = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), spans, listed], names=[batch.schema.names[0], "n_words", "spans", "items"])
+            yield made.take(pa.array(np.unique(docs))) if found_only else made
 
 
 def _item_groups(items: DataFrame, id_col: str, text_col: str, most_chars: int) -> Iterator[list[tuple[str, str]]]:
@@ -140,30 +146,39 @@ def _item_groups(items: DataFrame, id_col: str, text_col: str, most_chars: int)
         yield [tuple(r) for r in rows.filter(part == g).collect()]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_chars: int = 16 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_chars: int = 4 << 20) -> DataFrame:
     """Per document row: words, merged spans of covered words (start, exclusive end) and the items found."""
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    spark, found = docs.sparkSession, []
-    for group in _item_groups(items, item_col, item_text_col, most_chars):
-        phrases = spark.sparkContext.broadcast(Phrases(group, width))
-        found.append(own.mapInArrow(lambda batches, p=phrases: _scan(batches, p.value), RESULT))
-    if not found:
-        none = Phrases([], width)
-        return own.mapInArrow(lambda batches: _scan(batches, none), RESULT)
-    return found[0] if len(found) == 1 else merge_groups(reduce(DataFrame.unionByName, found))
-
-
-def merge_groups(found: DataFrame) -> DataFrame:
-    """Rows of the same document from several groups of items made one: spans united, items listed once. Equal document ids merge here."""
-    spans = F.array_sort(F.flatten(F.collect_list("spans")))
-
-    def add(done, s):
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(s)))
-
-    empty = F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")
-    return found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", F.aggregate("spans", empty, add))
+    spark, groups = docs.sparkSession, _item_groups(items, item_col, item_text_col, most_chars)
+    share = lambda group: spark.sparkContext.broadcast(Phrases(group, width))
+    scan = lambda rows, phrases, only: rows.mapInArrow(lambda b: _scan(b, phrases.value, only), f"{rows.columns[0]} long, {FOUND}")
+    first, second = next(groups, []), next(groups, None)
+    if second is None:
+        return scan(own, share(first), False)
+    numbered = stage(own.withColumn("row", F.monotonically_increasing_id()), "rows")
+    each = [scan(numbered.select("row", "text"), share(g), True) for g in chain([first, second], groups)]
+    spans = F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
+    united = reduce(DataFrame.unionByName, each).groupBy("row").agg(spans, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    united = united.mapInArrow(_merged, "row long, spans array<struct<start:long,end:long>>, items array<string>")
+    counted = scan(numbered.select("row", "text"), share([]), False).select("row", "n_words")
+    none = {"spans": F.array().cast("array<struct<start:long,end:long>>"), "items": F.array().cast("array<string>")}
+    met = numbered.select("row", "doc_id").join(counted, "row").join(united, "row", "left")
+    return met.select("doc_id", "n_words", *(F.coalesce(k, x).alias(k) for k, x in none.items()))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans of each row united where they touch."""
+    for batch in batches:
+        made = []
+        for spans in batch.column(1).to_pylist():
+            out: list[dict] = []
+            for s in spans:
+                if out and s["start"] <= out[-1]["end"]:
+                    out[-1]["end"] = max(out[-1]["end"], s["end"])
+                else:
+                    out.append(s)
+            made.append(out)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, batch.schema.field(1).type), batch.column(2)], names=["row", "spans", "items"])
 
 
 def n_hit() -> Column:
@@ -182,10 +197,11 @@ def _clean(batches: Iterator[pa.RecordBatch], phrases: Phrases, at: int) -> Iter
         yield batch.filter(pa.array(~hit))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_chars: int = 16 << 20) -> DataFrame:
-    """The rows of docs without an occurrence of any phrase, with all their columns and no shuffle."""
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_chars: int = 4 << 20) -> DataFrame:
+    """The rows of docs without an occurrence of any phrase, with all their columns and no shuffle; what a group of items leaves is written before the next."""
     at = docs.columns.index(text_col)
-    for group in _item_groups(items, item_col, item_text_col, most_chars):
+    for k, group in enumerate(_item_groups(items, item_col, item_text_col, most_chars)):
+        docs = stage(docs, "clean") if k else docs
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(group, width))
         docs = docs.mapInArrow(lambda batches, p=phrases: _clean(batches, p.value, at), docs.schema)
     return docs

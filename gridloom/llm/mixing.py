@@ -13,8 +13,8 @@ Positions within a source are prefix sums in two levels (sums of hash buckets, t
 likewise, so a source with a third of all rows is spread over as many tasks as it has buckets.
 
 Defined results: null and empty texts have size 0 and are never taken; null is a source of its own, after all others; repeated
-rows are documents of their own; rows that tie in the shuffled order are equal rows; a source of size 0 has target 0; an empty table gives no rows; other
-columns stay, and those that this module adds have names of their own.
+rows are documents of their own; rows that tie in the shuffled order are equal rows; a source of size 0 has target 0; a text of any length is one document, which many
+slots may take in turn; an empty table gives no rows; of the input's columns only id, source and a hash of the text come back, so no names clash.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.shared import stage
+from gridloom.operators.joins import salted_join
 
 # Fixed values of the result contract.
 WORD_GAPS = r"[\x20\x09-\x0D]+"
@@ -36,8 +37,8 @@ _MODULUS, _STEP = 1 << 31, 1327217885
 
 @dataclass(frozen=True)
 class Mix:
-    """documents: the input with _size, _source_size, _target, _at (place in the source's stream), _key.
-    pieces: per document row and block taken, _key, slot and words."""
+    """documents: _id, _source, _text_key (a hash of the text), _size, _source_size, _target, _at (place in the source's stream).
+    pieces: per document row, named by _source and _at, and block taken: slot and words."""
 
     documents: DataFrame
     sources: DataFrame
@@ -80,7 +81,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     so that a source's words differ from its target by a few slots at every scale; below `few` slots they equal the rounded target."""
     text = F.col(f"`{text_col}`")
     docs = df.select(
-        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), n_words(text).alias("_size"),
+        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), F.xxhash64(text).alias("_text_key"), n_words(text).alias("_size"),
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(f"`{id_col}`").cast("string"), text).cast("binary")), 1, 15), 16, 10).cast("long").alias("_hash"),
     )
     docs = stage(docs, "sizes")
@@ -90,8 +91,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # Buckets of the shuffled order: as many per source as its rows ask for, so a bucket's rows fit one task at any scale.
     n, words = sources.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, -(-words // max(least_slots, 1024 * n)))
-    known = F.broadcast(sources) if n <= 10_000 else sources  # a row each; checked
-    placed = docs.join(known, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
+    if n <= 10_000:  # a row each; checked
+        placed = docs.join(F.broadcast(sources), F.col("_source").eqNullSafe(F.col("source"))).drop("source")
+    else:
+        keys = lambda c: {"_none": F.col(c).isNull(), "_some": F.coalesce(c, F.lit(""))}
+        placed = salted_join(docs.withColumns(keys("_source")), sources.withColumns(keys("source")).drop("source"), ["_none", "_some"], "_rows", docs.count()).drop("_none", "_some")
     buckets = F.greatest(F.ceil(F.col("_rows") / bucket_rows), F.lit(1)).cast("long")
     placed = stage(placed.withColumn("_bucket", F.shiftright(F.shiftright("_hash", 28) * buckets, 32)), "placed")
     sums = placed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
@@ -99,8 +103,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     placed = placed.join(base, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    placed = placed.select("_id", "_source", "_hash", "_size", F.col("size").alias("_source_size"), F.col("target").alias("_target"), (F.col("_base") + F.col("_inside")).alias("_at"))
-    return Mix(placed, sources, _pieces(placed, _slots(sources, block, few), block, most_passes, few))
+    placed = placed.select("_id", "_source", "_text_key", "_size", F.col("size").alias("_source_size"), F.col("target").alias("_target"), (F.col("_base") + F.col("_inside")).alias("_at"))
+    return Mix(placed, sources, _pieces(placed, _slots(sources, block, few, max(1024, 4 * n)), block, most_passes, few))
 
 
 def _running(sums: DataFrame, key: str, value: str, out: str, wide: int = 1024) -> DataFrame:
@@ -115,8 +119,8 @@ def _running(sums: DataFrame, key: str, value: str, out: str, wide: int = 1024)
     return s.withColumn(out, F.col("_own") + F.col("_before")).drop("_us", "_uh", "_hi", "_own", "_before")
 
 
-def _slots(sources: DataFrame, block: int, few: int, cells: int = 1024) -> DataFrame:
-    """The schedule: slot, _source, rank of the slot within its source (from 0), and the source's size."""
+def _slots(sources: DataFrame, block: int, few: int, cells: int) -> DataFrame:
+    """The schedule: slot, _source, rank of the slot within its source (from 0), and the source's size. cells: a few times the sources, so a cell holds few ranges."""
     spark = sources.sparkSession
     total = sources.agg(F.sum("size").alias("t")).first().t or 0
     n = -(-total // block)

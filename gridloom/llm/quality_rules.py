@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of JVM expressions, with no user function and no shuffle.
 
 Defined results: null and empty texts have no words and fail the base rule; a denominator of 0 makes a ratio 0; repeated rows
-are judged alike, each on its own; other columns, whatever their names, are left alone (statistics travel in one struct).
+are judged alike, each on its own; a text of any length is judged whole; an empty table stays empty; other columns are left alone (statistics
+travel in one struct), but one that has the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.schema import fresh
+
 # Fixed values of the result contract.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,8 +109,8 @@ def compile_rules(rules: tuple[Rule, ...], stat) -> Column:
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", out: str = "quality_rules", rules: tuple[Rule, ...] = RULES, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
-    """df with a struct column `out`: every statistic, base_failed and kept."""
-    raw = f"{out}__raw"
+    """df with a struct column `out`: every statistic, base_failed and kept. A column of df that is called `out` already is replaced."""
+    raw = fresh(df, f"{out}__raw")
     s = df.withColumn(raw, statistics(F.col(f"`{text_col}`")))
     names = {"n_words": "w.n_words", "word_chars": "w.word_chars", "n_symbols": "n_symbols", "n_dup_lines": "l.n_dup_lines", "n_lines": "l.n_lines", "n_stop": "w.n_stop", "n_repeat_words": "w.n_repeat_words"}
     stat = lambda k: F.col(f"{raw}.{names[k]}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,11 @@ def text_or_empty(name: str) -> Column:
 def held_out(name: str = "doc_id", folds: int = 5) -> Column:
     """The fold that no model learns from: crc32 of the id as text, modulo folds, is 0."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores at its end as it takes to be no column of df (letter case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

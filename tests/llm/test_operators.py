@@ -307,21 +307,24 @@ def brute_hits(text, items, width=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("most_chars", [1 << 24, 40])
+@pytest.mark.parametrize("most_chars", [1 << 24, 300, 40])
 def test_decontamination(spark, rows, most_chars):
     short = [r for r in rows if r[1] is None or len(r[1]) < 3000]
     text = short[3][1].split()
-    items = [(1, " ".join(text[4:30])), (2, "One, TWO"), (3, None), (4, ""), (None, " ".join(text[20:33])), (11, " ".join(text[50:59]))]
-    docs = spark.createDataFrame([(r[0], r[1], "c") for r in short if r[0] is not None], "doc_id long, text string, items string").dropDuplicates(["doc_id"])
+    items = [(1, " ".join(text[4:30])), (2, "One, TWO"), (3, None), (4, ""), (None, " ".join(text[20:33])), (11, " ".join(text[50:59])), (12, " ".join(text[33:45])), (1, " ".join(text[70:85]))]
+    # A repeated id with another text, several null ids, and every row of the case table, repeated ones too.
+    all_ = [(r[0], r[1], "c") for r in short] + [(3, " ".join(text[4:16]), "c"), (None, " ".join(text[20:31]), "c"), (None, "one two three", "c"), (None, None, "c"), (None, "one two three", "c")]
+    docs = spark.createDataFrame(all_, "doc_id long, text string, items string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_contamination(docs, bench, most_chars=most_chars).withColumn("n_hit", decontaminate.n_hit()).collect()
-    texts = {r[0]: r[1] for r in short}
+    want = [(i, *brute_hits(t, items)) for i, t, _ in all_]
+    line = lambda i, n, hit, found: (i, n, hit, tuple(found))
+    assert Counter(line(r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in got) == Counter(line(*x) for x in want)
     for r in got:
-        n, hit, found = brute_hits(texts[r.doc_id], items)
-        assert (r.n_words, r.n_hit, sorted(r["items"])) == (n, hit, found)
-    kept = {r.doc_id for r in decontaminate.clean_documents(docs, bench, most_chars=most_chars).collect()}
-    assert kept == {r.doc_id for r in got if not r.n_hit}
-    assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+        assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
+    kept = Counter((r.doc_id, r.text) for r in decontaminate.clean_documents(docs, bench, most_chars=most_chars).collect())
+    assert kept == Counter((i, t) for (i, t, _), x in zip(all_, want, strict=True) if not x[2])
+    assert decontaminate.find_contamination(docs.limit(0), bench, most_chars=most_chars).count() == 0
     assert decontaminate.find_contamination(docs, bench.limit(0)).agg(F.sum(F.size("items"))).first()[0] == 0
 
 
@@ -385,7 +388,6 @@ def test_token_files_round_trip(spark, docs, rows, no_docs):
 
     path = queries.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     folder = f"{shared_dir(spark)}/t"
     token_files.write_token_files(docs, folder, path)
     got = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)

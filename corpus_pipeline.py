@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps with the columns of documents; the last returns
 what its files hold. Between stages the rows are written as Parquet in the shared folder and read again.
+
+A document is a row; rows are told apart by id and text. Defined results: null and empty texts fail the quality rules; documents with a
+null id, or with one id and different texts, are documents of their own in every stage; rows equal in id and text are copies, of which one stays; texts of
+any length are judged whole; an empty table passes through as one; columns beyond those of documents stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,19 +18,29 @@ from gridloom.llm.jaccard_join import jaccard_join
 from gridloom.llm.mixing import mix, taken
 from gridloom.llm.quality_rules import quality_rules
 from gridloom.llm.queries import tokenizer_path
+from gridloom.llm.schema import fresh
 from gridloom.llm.shared import shared_dir, stage
 from gridloom.llm.token_files import read_token_files, write_token_files
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every quality rule holds for."""
-    return quality_rules(docs).filter("quality_rules.kept").drop("quality_rules")
+    out = fresh(docs, "quality_rules")
+    return quality_rules(docs, out=out).filter(F.col(f"`{out}`.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _row_key(docs: DataFrame, id_col: str, text_key) -> dict:
+    """Columns that tell rows apart, none of them null: whether a row has an id, the id, a hash of its text."""
+    names = (fresh(docs, f"_row_{x}") for x in ("no_id", "id", "text"))
+    return dict(zip(names, (F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0)), text_key), strict=True))
 
 
 def by_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies and near copies the document with the smallest id; rows that share an id are one document."""
-    first = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of copies and near copies the document with the smallest id, and of rows equal in id and text one."""
+    own = _row_key(docs, "doc_id", F.xxhash64("text"))
+    first = jaccard_join(docs).filter("first")
+    first = first.select(*(x.alias(k) for k, x in zip(own, _row_key(first, "doc_id", F.col("text_key")).values(), strict=True)))
+    return docs.withColumns(own).join(first, list(own), "left_semi").dropDuplicates(list(own)).drop(*own)
 
 
 def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +49,13 @@ def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def by_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document; one that the end of its source's stream cuts counts if at least half of it is taken.
-    Rows that share an id are taken together, as one document."""
-    times = F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)) + 0.5).cast("int")
-    copies = taken(mix(docs)).groupBy(F.col("_id").alias("_doc")).agg(F.sum(times).cast("int").alias("_n")).filter("_n > 0")
-    own = docs.dropDuplicates(["doc_id"]).join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return own.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """A row for each time that the mix takes a document; one that the end of its source's stream cuts counts if at least half of it is taken."""
+    own, times, again = _row_key(docs, "doc_id", F.xxhash64("text")), fresh(docs, "_times"), fresh(docs, "_pass")
+    mixed = taken(mix(docs)).withColumn(times, F.floor(F.col("_taken") / F.greatest("_size", F.lit(1)) + 0.5).cast("int")).filter(F.col(times) > 0)
+    mixed = mixed.select(*(x.alias(k) for k, x in zip(own, _row_key(mixed, "_id", F.col("_text_key")).values(), strict=True)), times)
+    mixed = mixed.groupBy(*own).agg(F.sum(times).cast("int").alias(times))
+    taken_docs = docs.withColumns(own).dropDuplicates(list(own)).join(mixed, list(own))
+    return taken_docs.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

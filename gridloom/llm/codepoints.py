@@ -6,8 +6,8 @@ import unicodedata
 
 import numpy as np
 
-#: Code points above this have no case and count as no letter here (rare scripts and emoji planes).
-TOP = 0x30000
+#: From this code point on (planes 4 to 16) there are no letters.
+TOP = 0x40000
 
 
 def decode(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,6 +14,7 @@ from gridloom.llm.fm_index import FMIndex, suffix_order
 from gridloom.llm.schema import held_out
 from gridloom.llm.shared import shared_dir
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -345,6 +347,86 @@ def test_language_id(spark, docs, no_docs):
     assert language_id.identify(docs, {"doc_id": F.col("doc_id")}, F.col("text"), names, profiles).filter("lang_pred <> 'und'").count() == 0
 
 
+def brute_language(train, texts, n=3, size=1024, sharpness=8.0):
+    """Vectors letter by letter, n-gram by n-gram, in plain loops."""
+    vector = {}
+
+    def of(letter, turn):
+        if (letter, turn) not in vector:
+            vector[letter, turn] = np.roll(language_id._letter_vectors(np.array([ord(letter)]), size)[0].astype(int), turn)
+        return vector[letter, turn]
+
+    def bundle(text):
+        total = np.zeros(size)
+        runs = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()
+        line = f" {' '.join(runs)} " if runs else ""
+        for i in range(len(line) - n + 1):
+            bound = np.ones(size, int)
+            for k, c in enumerate(line[i : i + n]):
+                bound = bound * of(c, n - 1 - k)
+            total += bound
+        return total
+
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    langs = sorted({g for g, t in train if g is not None})
+    profiles = {g: unit(sum(bundle(t) for x, t in train if x == g)) for g in langs}
+    common = sum(profiles.values()) / len(langs)
+    own = {g: unit(p - common) for g, p in profiles.items()}
+    out = []
+    for t in texts:
+        b = bundle(t)
+        if not b.any():
+            out.append(("und", 0.0))
+            continue
+        cosine = np.array([unit(unit(b) - common) @ own[g] for g in langs])
+        power = np.exp(sharpness * (cosine - cosine.max()))
+        out.append((langs[int(cosine.argmax())], 1 / power.sum()))
+    return out
+
+
+def test_language_id_against_brute_force(spark):
+    train = [("de", "der Hund und die Katze laufen über die Straße"), ("en", "the dog and the cat run over the street"), ("fr", "le chien et le chat courent dans la rue"), ("zh", "狗和猫在街上跑步"), ("en", "A second, longer text about the same things."), (None, "no language here"), ("fr", None)]
+    texts = ["the cat and the dog", "die Katze", "LE CHAT, le chien!", "猫在街上", "\U00030000\U00030001\U00031350", "123 !!", None, "", "ß", "a"]
+    names, profiles = language_id.learn(spark.createDataFrame(train, "lang string, text string"), F.col("lang"), F.col("text"))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = sorted(language_id.identify(df, {"k": F.col("k")}, F.col("text"), names, profiles).collect())
+    for r, (lang, score) in zip(got, brute_language(train, texts), strict=True):
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6), texts[r.k]
+
+
+def test_language_bundles_of_segments_equal_those_of_whole_texts():
+    import random
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé 漢字，. Z\U00030000") for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["", "   ", " a", "a "]
+    b = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(b), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in b])]).astype(np.int64)
+    whole = language_id.bundles(buf, off, np.arange(len(b)), len(b), 3, 256)
+    for most, wide in ((40, 7), (1, 4096), (200, 50)):
+        got = language_id.bundles(buf, off, np.arange(len(b)), len(b), 3, 256, most=most, wide=wide)
+        assert np.array_equal(got[0], whole[0]) and np.array_equal(got[1], whole[1])
+
+
+def test_language_memory_does_not_grow_with_a_text_of_many_letters():
+    """One text of 6 MB, nearly every trigram of it new, within 200 MB above the libraries."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from gridloom.llm import language_id as L
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+L.bundles(np.frombuffer("abc".encode(), np.uint8), np.array([0, 3]), np.zeros(1, int), 1, 3, 1024)
+buf = np.frombuffer("".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA5, 2_000_000))).encode(), np.uint8)
+before = peak()
+total, some = L.bundles(buf, np.array([0, len(buf)]), np.zeros(1, int), 1, 3, 1024)
+assert some.all() and total.any()
+print(peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True).stdout
+    assert float(out) < 200
+
+
 # --- quality -----------------------------------------------------------------------------------------------------------
 
 

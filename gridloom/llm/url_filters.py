@@ -10,11 +10,11 @@ The longest matching key decides, as it is the most specific; on equal keys the
 without a match is kept.
 
 One host may have a third of all captures, so captures and intervals meet by key and salt: intervals, which are few against
-captures, are repeated per salt. Matches are folded per capture by one partially aggregated groupBy.
+captures, are repeated per salt. Captures without a key never enter the join. Matches are folded per capture by one partially aggregated groupBy.
 
 Defined results: a null or unparsable URL, or a null day, has no key, verdict 'none' and is kept; of entries of one
-list, key and day the 'remove' holds; entries with a null key, list or day are ignored; repeated captures are each judged; empty tables are
-no special case; other columns are not carried, so names cannot clash.
+list, key and day the 'remove' holds; entries with a null key, list or day are ignored; repeated captures are each judged; a very long URL is read
+whole; empty tables are no special case; other columns are not carried, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def url_filters(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetch_day", path_depth: int = 2, salts: int = 16) -> DataFrame:
     """One row per capture: id, url, day, n_active (entries active for it), matched_key, verdict (allow, block or none), kept."""
     c = captures.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{day_col}`").alias("day"), F.monotonically_increasing_id().alias("row"))
-    keyed = c.withColumn("key", F.explode_outer(url_keys(F.col("url"), path_depth))).withColumn("salt", F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")))
+    keyed = c.withColumn("key", F.explode_outer(url_keys(F.col("url"), path_depth)))
+    keyed = keyed.withColumn("salt", F.when(F.col("key").isNull(), F.pmod(F.xxhash64("row"), F.lit(1 << 30))).otherwise(F.pmod("row", F.lit(salts))).cast("int"))
     spread = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = keyed.join(spread, ["key", "salt"], "left")
     active = F.col("list").isNotNull() & (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))

@@ -145,7 +145,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.col("base")
     counts = (n_of(base, k).alias(f"n_{k}") for k in BASE_KINDS)
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), n_of(F.col("spans"), "secret").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,6 +277,50 @@ def test_personal_data_finds_secrets_of_every_keyword(spark):
     assert {r.text: r.n for r in got} == dict.fromkeys(texts, 1)
 
 
+def test_personal_data_precision_and_recall(spark):
+    """A corpus with known spans: what the method adds to the base spans, kind by kind, against what was planted beyond the base patterns."""
+    import random
+
+    rng = random.Random(8)
+    prose = lambda: " ".join(rng.choice(["the", "report", "of", "last", "week", "shows", "that", "many", "people", "agree"]) for _ in range(12))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + x for x in "0123456789" if luhn(d + x))
+
+    def not_card():
+        d = digits(15)
+        return next(d + x for x in "0123456789" if not luhn(d + x))
+
+    true = {"secret": lambda: f'{rng.choice(["token", "api_key", "password"])} = "{hexes(rng.choice([32, 40]))}"', "email": lambda: f"{rng.choice(['ann', 'bob'])}{digits(3)}@mail{digits(2)}.org", "ip": lambda: f"10.{rng.randint(0, 255)}.3.{rng.randint(1, 254)}", "card": card, "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"}
+    false = {"card": not_card, "ip": lambda: f"{rng.randint(256, 999)}.1.2.3", "email": lambda: "a@b", "phone": lambda: f"(see {digits(2)}) page"}
+    rows, planted = [], set()
+    for i in range(1500):
+        kind = rng.choice(list(true))
+        span, start = true[kind](), prose() + " "
+        text = start + span + " " + prose()
+        planted.add((i, kind, len(start), len(start) + len(span)))
+        if rng.random() < 0.5:
+            text += " " + false[rng.choice(list(false))]() + " " + prose()
+        rows.append((i, text))
+    got = personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {(r.id, personal_data.KINDS[s.k], s.s, s.e) for r in got for s in r.spans}
+    for kind in personal_data.KINDS:
+        mine, own = {x for x in spans if x[1] == kind}, {x for x in planted if x[1] == kind}
+        precision, recall = len(mine & own) / max(1, len(mine)), len(mine & own) / len(own)
+        assert precision >= 0.97 and recall >= 0.97, (kind, precision, recall)
+
+
+def test_personal_data_places_many_matches(spark):
+    """More matches than a chunk holds, and than a chunk of chunks: places are right and the work stays near linear."""
+    for n in (63, 64, 65, 129, 30_000):
+        text = " é ".join(f"a{i}@b.org" for i in range(n))
+        r = personal_data.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(personal_data.listed(F.col("base")).alias("b")).first()
+        assert r.b == base_spans(text)
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------------
 
 

@@ -2,12 +2,15 @@
 
 A page is cut into blocks at block-level tags. Pass one judges each block alone, by stop-word density, length and link density,
 and by the element that holds it: menus, headers, footers, asides, forms, adverts, notices and comment sections are out,
-and so is all that stands outside the article where a page marks one. Pass two gives blocks that pass one could not
-decide, most of them short, the label of the nearest decided block; two equally near ones of different labels keep the block inside an
-article and drop it elsewhere; with no decided block in reach an article's blocks stay.
-
-Defined results: null and empty html, and pages without main text, give an empty text; repeated rows each get their own;
-unclosed tags, comments, scripts and quotes end where the page ends; no text is cut. Other columns are ignored.
+and so is all that stands outside the article where a page marks one. Only an article that holds at least half of the text that could
+be main text marks a page, so teasers and related links do not. Inside it a single block of links is not decided by itself; three or
+more in a row are a list of links and out. A page without any listed stop word is in another language: there length and links decide
+alone. Pass two gives blocks that pass one could not decide, most of them short, the label of the nearest decided block; two equally near
+ones of different labels keep the block inside an article and drop it elsewhere; with no decided block in reach an article's blocks stay.
+
+Defined results: null and empty html, and pages without main text, give an empty text; repeated rows each get their own; very long pages are
+read whole; unclosed tags, comments, scripts and quotes end where the page ends; character references are decoded within a run of
+text, never across a tag; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,9 +68,10 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
     def close() -> None:
         if not parts:
             return
-        text = _SPACE.sub(" ", unescape("".join(t for t, _ in parts))).strip()
+        plain = [(unescape(t) if "&" in t else t, a) for t, a in parts]
+        text = _SPACE.sub(" ", "".join(t for t, _ in plain)).strip()
         if text:
-            inside = sum(len(unescape(t).strip()) for t, a in parts if a)
+            inside = sum(len(t.strip()) for t, a in plain if a)
             out.append((text, min(1.0, inside / len(text)), bad > 0, art > 0))
         parts.clear()
 
@@ -121,17 +125,37 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
     return out
 
 
+def _link_lists(found: list[tuple[str, float, bool, bool]], least: int = 3) -> set[int]:
+    """Blocks in runs of at least `least` neighbours that are mostly links."""
+    out, run = set(), []
+    for i, (_, links, _, _) in enumerate([*found, ("", 0.0, False, False)]):
+        if links > LINKS:
+            run.append(i)
+            continue
+        if len(run) >= least:
+            out.update(run)
+        run = []
+    return out
+
+
 def main_blocks(html: str) -> list[str]:
     found = blocks(html)
-    marked = any(a and not b for _, _, b, a in found)
-    label: list[bool | None] = []
+    could = [len(t) * (article or -1) for t, links, outside, article in found if not outside and (article or links <= LINKS)]
+    marked = any(n > 0 for n in could) and sum(could) >= 0
+    lists = _link_lists(found) if marked else set()
+    counted = []
     for text, links, outside, article in found:
-        if outside or (marked and not article) or links > LINKS:
+        words = _WORD.findall(text.lower()) if len(text) >= SHORT and not outside else ()
+        counted.append((sum(map(_STOP.__contains__, words)), len(words)))
+    foreign = not any(n for n, _ in counted)
+    label: list[bool | None] = []
+    for i, ((text, links, outside, article), (n, of)) in enumerate(zip(found, counted, strict=True)):
+        stop = n / of if of else 0.0
+        if outside or (marked and not article) or i in lists or (links > LINKS and not marked):
             label.append(False)
-            continue
-        words = _WORD.findall(text.lower()) if len(text) >= SHORT else ()
-        stop = sum(map(_STOP.__contains__, words)) / len(words) if words else 0.0
-        if len(text) >= SHORT and stop >= STOP_HIGH or len(text) >= LONG and stop >= STOP_LOW:
+        elif links > LINKS:
+            label.append(None)
+        elif len(text) >= SHORT and stop >= STOP_HIGH or len(text) >= LONG and (foreign or stop >= STOP_LOW):
             label.append(True)
         elif not marked and len(text) >= LONG and stop < STOP_LOW / 4:
             label.append(False)

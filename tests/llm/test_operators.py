@@ -228,6 +228,90 @@ def test_html_without_marks_uses_neighbours():
     assert html_text.main_blocks(page) == [good, "Short one", good]
 
 
+def brute_article(html):
+    """The blocks of the article of a page that marks one, by the standard library's parser and a stack: no rule of text at all."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.blocks, self.now = [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.now).split())
+            self.now = []
+            if text:
+                self.blocks.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.now.append(" ")
+                return
+            if tag in html_text.BLOCKS:
+                self.flush()
+            if tag in html_text.VOID:
+                return
+            if tag == "p" and self.stack and self.stack[-1][0] == "p":
+                self.stack.pop()
+            hints = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+            bad = tag in ("nav", "aside", "form", "footer", "script", "style") or any(x in hints.split() for x in ("ad", "comments", "menu", "related"))
+            self.stack.append((tag, bad))
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCKS:
+                self.flush()
+            if any(t == tag for t, _ in self.stack):
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.stack) and not any(b for _, b in self.stack):
+                self.now.append(data)
+
+    r = Reader()
+    r.feed(html)
+    r.close()
+    r.flush()
+    return r.blocks
+
+
+def test_html_against_brute_force_on_whole_tables(spark):
+    got = queries.op4_html_text(spark, "/root/testdata/sf0.01").collect()
+    html = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(got) == len(html)
+    for r in got:
+        want = "\n".join(brute_article(html[r.page_id] or ""))
+        assert (r.text, r.n_chars) == (want, len(want)), r.page_id
+
+
+def test_html_against_made_pages():
+    """Pages made around known article blocks: references, unclosed tags, containers that are out, links, other languages."""
+    import random
+    from html import escape
+
+    rng = random.Random(13)
+    tongues = (["the", "of", "and", "house", "river", "to", "in"], ["der", "die", "und", "Haus", "ist", "nicht"], ["talo", "joki", "vuori", "on", "iso", "kuin"])
+    for k in range(300):
+        tongue = rng.choice(tongues)
+        prose = lambda n: " ".join(rng.choice(tongue) + rng.choice(["", ",", " & co", " <b", ""]) for _ in range(n))  # noqa: E731, B023
+        own = [" ".join(prose(rng.choice([1, 4, 40, 90])).split()) for _ in range(rng.randint(1, 7))]
+        noise = [f"<nav><ul>{''.join(f'<li><a href=/{i}>{prose(1)}</a>' for i in range(5))}</ul></nav>", f"<div class='ad box'>{escape(prose(40))}</div>", f"<aside><p>{escape(prose(60))}</aside>", f"<form>{escape(prose(3))}<button>go</button></form>", f"<script>if (a < b) {{ '</p>' }}</script><!-- {prose(5)} -->", f"<section id=comments><p>{escape(prose(50))}</p></section>"]
+        part = lambda t: rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<div><p>{}</p></div>", "<li>{}</li>", "<p><b>{}</b></p>", "<p>{} <br></p>"]).format(escape(t) if rng.random() < 0.7 else escape(t).replace("o", "&#111;").replace("&amp;", "&#x26;"))
+        inner = "".join(part(t) + (rng.choice(noise) if rng.random() < 0.4 else "") for t in own)
+        page = f"<html><head><title>{prose(4)}</title></head><body>{rng.choice(noise)}<article>{inner}</article>{rng.choice(noise)}<footer>{prose(20)}</footer></body></html>"
+        assert html_text.main_blocks(page) == own, page
+
+
+def test_html_teasers_do_not_mark_a_page_and_references_stay_inside_tags():
+    good = "This is one of the paragraphs that are in the text of the page, with the words that one would look for in it."
+    page = f"<p>{good}</p><p>{good}</p><article><p>A teaser of the day</p></article><p>{good}</p>"
+    assert html_text.main_blocks(page).count(good) == 3
+    assert html_text.main_blocks(f"<article><p>{good} &am<b>p;</b> &amp; &lt</p></article>") == [f"{good} &amp; & <"]
+    links = "".join(f"<li><a href={i}>see number {i}</a></li>" for i in range(4))
+    assert html_text.main_blocks(f"<article><p>{good}</p><ul>{links}</ul><p>{good}</p><p><a href=x>one link</a></p></article>") == [good, good, "one link"]
+    assert html_text.main_blocks("<p>" + "talo joki vuori " * 20 + "</p><div><a href=1>koti</a></div>") == [("talo joki vuori " * 20).strip()]
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

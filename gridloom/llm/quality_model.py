@@ -5,11 +5,13 @@ of square roots bring them near normal. Each class has its mean and a covariance
 of both classes together; its Cholesky factor is inverted once and shipped. A score is the logistic of the difference of Mahalanobis log-densities plus
 the log prior ratio, tempered, since the statistics are not quite normal.
 
-Sums for means and covariances are made per partition and added by one groupBy; the driver gets two small matrices.
+Statistics are kept in steps of 2^-20, so sums for means and covariances are sums of integers: exact, and the same whatever the order in
+which partitions are added by one groupBy. The driver gets two small matrices.
 
 Defined results: null and empty texts have zero statistics and get a score like any other; rows without a label, or whose id
 is in the held-out fold, teach nothing; an id with several labels teaches with each; with fewer than two classes every score is
-the share of label 1 (0.5 with no label at all). Other columns are ignored.
+the share of label 1 (0.5 with no label at all); very long texts count whole; repeated rows teach and are scored each; an empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ _OTHER = _class("()[]{}\"'=+_/\\@^~`-")
 _LINE = np.ones(256, bool)
 _LINE[10] = False
 
+#: Statistics are multiples of 1 / UNIT; none reaches 32.
+UNIT = 1 << 20
+
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "stops", "commas", "loud", "other", "stop_words", "distinct", "top_word", "lines", "repeated_lines")
 
 
@@ -96,7 +101,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = utf8(batch.column(2))
         for i, j in pieces(off):
-            x = np.round(statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i]), 12)
+            x = np.rint(statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i]) * UNIT) / UNIT
             rows = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * width, pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), rows], names=["doc_id", "held_out", "x"])
 
@@ -106,15 +111,13 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class: rows, sum and sum of outer products, flat."""
-    total: dict[int, np.ndarray] = {}
+    """Per class and run of rows: rows, sum and sum of outer products, flat, in integers of 1, 1/UNIT and 1/UNIT^2."""
     for batch in batches:
-        x, y = _rows(batch.column(1)), batch.column(0).to_numpy()
-        for c in (0, 1):
-            z = x[y == c]
-            total[c] = total.get(c, 0) + np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["label", "sums"])
+        for i in range(0, batch.num_rows, 4096):  # 4096 squares of at most 2^25 stay below 2^63
+            part = batch.slice(i, 4096)
+            x, y = np.rint(_rows(part.column(1)) * UNIT).astype(np.int64), part.column(0).to_numpy()
+            sums = {c: np.concatenate([[int((y == c).sum())], x[y == c].sum(axis=0), (x[y == c].T @ x[y == c]).ravel()]) for c in np.unique(y).tolist()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["label", "sums"])
 
 
 @dataclass(frozen=True)
@@ -166,11 +169,12 @@ def train(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     """Learns from labelled rows outside the held-out fold, all of them."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label IN (0, 1)")
     rows = features.filter("NOT held_out").join(known, "doc_id").select("label", "x")
-    parts = rows.mapInArrow(_sums, "label int, sums array<double>").select("label", F.posexplode("sums").alias("at", "v"))
+    parts = rows.mapInArrow(_sums, "label int, sums array<long>").select("label", F.posexplode("sums").alias("at", "v"))
     sums: dict[int, np.ndarray] = {}
     width = len(FEATURES)
-    for r in parts.groupBy("label", "at").agg(F.sum("v").alias("v")).collect():  # bounded: two rows per entry of the sums
-        sums.setdefault(r.label, np.zeros(1 + width + width * width))[r["at"]] = r.v
+    unit = [1, *[UNIT] * width, *[UNIT**2] * (width * width)]
+    for r in parts.groupBy("label", "at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():  # bounded: two rows per entry of the sums
+        sums.setdefault(r.label, np.zeros(1 + width + width * width))[r["at"]] = int(r.v) / unit[r["at"]]
     return fit(sums)
 
 

@@ -199,9 +199,11 @@ def _clean(batches: Iterator[pa.RecordBatch], phrases: Phrases, at: int) -> Iter
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_chars: int = 4 << 20) -> DataFrame:
     """The rows of docs without an occurrence of any phrase, with all their columns and no shuffle; what a group of items leaves is written before the next."""
-    at = docs.columns.index(text_col)
+    names, text = docs.columns, F.col(f"`{text_col}`")
+    # The other columns travel as one struct, since names with dots are none that a Python stage takes.
+    rows = docs.select(text.alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c != text_col)).alias("rest"))
     for k, group in enumerate(_item_groups(items, item_col, item_text_col, most_chars)):
-        docs = stage(docs, "clean") if k else docs
+        rows = stage(rows, "clean") if k else rows
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(group, width))
-        docs = docs.mapInArrow(lambda batches, p=phrases: _clean(batches, p.value, at), docs.schema)
-    return docs
+        rows = rows.mapInArrow(lambda batches, p=phrases: _clean(batches, p.value, 0), rows.schema)
+    return rows.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in names))

@@ -590,6 +590,49 @@ def test_quality_model(spark, docs, no_docs):
     assert quality_model.score(f, quality_model.train(f, labels)).count() == 0
 
 
+def brute_statistics(text):
+    """The fourteen statistics of a text in plain Python."""
+    import math
+
+    t = text or ""
+    share = lambda a, b: math.asin(math.sqrt(min(1, a / max(b, 1))))
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    chars = sum(map(len, w))
+    plain = words_of(t)
+    letters = sum(map(len, plain))
+    of = lambda cs: sum(c in cs for c in t)
+    stop = {x for s in set(quality_rules.STOP_WORDS) for x in words_of(s)}
+    lines = [x for x in t.split("\n") if x]
+    n = len(w)
+    x = [
+        math.log1p(n), math.log1p(chars / max(n, 1)), share(of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letters), share(of("0123456789"), chars), share(of("#*$%&|<>"), chars), share(of("."), n), share(of(",;:"), n), share(of("!?"), n),
+        share(of("()[]{}\"'=+_/\\@^~`-"), chars), share(sum(p in stop for p in plain), len(plain)), math.log1p(len(set(plain))) / math.log1p(max(len(plain), 1)), share(max(Counter(plain).values(), default=0), len(plain)),
+        math.log1p(len(lines)) / math.log1p(max(n, 1)), share(len(lines) - len(set(lines)), len(lines)),
+    ]
+    return [round(v * (1 << 20)) / (1 << 20) for v in x]
+
+
+def test_quality_model_against_brute_force(spark):
+    """Statistics, class covariances, shrinkage and Mahalanobis log-densities of a whole table, without a Cholesky factor."""
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    label = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in text}
+    x = {i: np.array(brute_statistics(t)) for i, t in text.items()}
+    rows = [(np.array([x[i] for i, y in label if y == c and i in text and not held[i]])) for c in (0, 1)]
+    spread = np.diag(np.concatenate(rows).var(axis=0))
+    cov = [0.85 * np.cov(r.T, bias=True) + 0.1 * np.diag(r.var(axis=0)) + 0.05 * spread + 1e-4 * np.eye(r.shape[1]) for r in rows]
+    inverse, logdet, mean = [np.linalg.inv(c) for c in cov], [np.linalg.slogdet(c)[1] for c in cov], [r.mean(axis=0) for r in rows]
+    prior = np.log(len(rows[1]) / len(rows[0]))
+    got = queries.op9_quality_model(spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got:
+        d = [-0.5 * ((x[r.doc_id] - mean[c]) @ inverse[c] @ (x[r.doc_id] - mean[c]) + logdet[c]) for c in (0, 1)]
+        score = 1 / (1 + np.exp(-np.clip(0.5 * (d[1] - d[0]) + prior, -500, 500)))
+        assert r.score == pytest.approx(score, abs=1e-5), r.doc_id
+        assert r.held_out == held[r.doc_id] and r.predicted == int(r.score >= 0.3)
+
+
 # --- token files -------------------------------------------------------------------------------------------------------
 
 

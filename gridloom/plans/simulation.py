@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.operators import joins as J
 from gridloom.operators import sampling as S
 from gridloom.operators import simulation as X
+from gridloom.operators.evidence import level_tables
+from gridloom.operators.timeseries import fill
 from gridloom.plans.cells import rounded
 from gridloom.plans.registry import fixture, query
+from gridloom.plans.series import _FILL, spine
 
 
 def _lcg(k: str) -> str:
@@ -80,46 +84,89 @@ def normal_emulator(df):
 @query("covariance_models", "SELECT h, round(exp(-h / 500), 9) AS exponential, round(exp(-(h / 500) * (h / 500)), 9) AS gaussian, round(CASE WHEN h < 500 THEN 1 - 1.5 * h / 500 + 0.5 * pow(h / 500, 3) ELSE 0 END, 9) AS spherical FROM (SELECT unnest(range(0, 2000, 100))::DOUBLE AS h)")
 def covariance_models(spark, sf):
     h = F.col("h")
-    x = spark.range(0, 2000, 100).select(F.col("id").cast("double").alias("h")).select("h", *(X.covariance(h, 500.0, m).alias(m) for m in X.MODELS))
-    return rounded(x, *X.MODELS, digits=9)
+    x = spark.range(0, 2000, 100).select(F.col("id").cast("double").alias("h")).select("h", *(X.covariance(h, 500.0, m).alias(m) for m in X.CORRELATION))
+    return rounded(x, *X.CORRELATION, digits=9)
 
 
-@query("perturbed_heights", None)
-def perturbed_heights(spark, sf):
-    """Heights of 20 draws, as the spread of each node's last day: deterministic whatever the partitions."""
-    from gridloom.operators.timeseries import fill
-    from gridloom.plans.series import spine
+def _normal(*cols: str, seed: int) -> str:
+    u = [f"(({_key(*cols, seed=s)}) % 1048576 + 0.5) / 1048576" for s in (seed, seed + 1)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
+
+
+_HEIGHTS = f"""WITH {_FILL}, nd AS (SELECT node, (day - DATE '2024-01-01')::BIGINT AS t, kind, gap, (day - DATE '2024-01-01')::BIGINT - gap AS run FROM f),
+ dev AS (SELECT draw, CASE WHEN draw = 0 THEN 0 ELSE 0.05 * {_normal("draw", seed=1)} + CASE WHEN kind = 0 THEN 0.1 * {_normal("draw", "node", "t", seed=3)} ELSE 0 END
+  + CASE WHEN kind IN (1, 2) THEN CASE WHEN gap <= 1 THEN 0.1 ELSE 0.2 END * {_normal("draw", "node", "run", seed=5)} ELSE 0 END END AS d FROM nd, (SELECT unnest(range(0, 20)) AS draw))
+ SELECT draw, count(*) AS n, round(avg(d), 6) AS shift, round(stddev_pop(d), 6) AS spread FROM dev GROUP BY draw"""
+
 
+def _node_days(spark, sf):
+    """Filled node heights with the day's number and the gap run that a filled day belongs to."""
     f = fill(spine(fixture(spark, sf, "node_day")), "node", "day", "h")
-    f = f.select("node", F.datediff("day", F.lit("2024-01-01").cast("date")).alias("day_no"), F.col("filled").alias("h"), "kind", "gap").withColumn("run", F.col("day_no") - F.col("gap"))
-    x = X.perturbed_heights(f, spark.range(20).withColumnRenamed("id", "draw"))
-    return x.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.avg(F.col("h_draw") - F.col("h")), 6).alias("shift"), F.round(F.stddev_pop(F.col("h_draw") - F.col("h")), 6).alias("spread"))
+    day = F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long")
+    return f.select("node", day.alias("day_no"), F.col("filled").alias("h"), "kind", "gap", (day - F.col("gap")).alias("run"))
+
+
+@query("perturbed_heights", _HEIGHTS)
+def perturbed_heights(spark, sf):
+    """Heights of 20 draws, by their mean and spread around the undisturbed ones."""
+    x = X.perturbed_heights(_node_days(spark, sf), 20).withColumn("d", F.col("h_draw") - F.col("h"))
+    return x.groupBy("draw").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("shift"), F.round(F.stddev_pop("d"), 6).alias("spread"))
 
 
 @query("correlated_fields", None)
 def correlated_fields(spark, sf):
-    """Statistics of four fields: unit variance and the model's correlation at one range."""
-    f = X.correlated_fields(spark.range(4).withColumnRenamed("id", "draw"), 64, 64, 20.0, [(1.0, 100.0, "exponential")])
+    """Statistics of four nested fields: unit variance and the models' correlation at a lag of five cells."""
+    f = X.correlated_fields(spark.range(4).withColumnRenamed("id", "draw"), 64, 64, 20.0, [(0.7, 100.0, "exponential"), (0.3, 300.0, "spherical")])
     lag = f.join(f.select("draw", "r", (F.col("c") - 5).alias("c"), F.col("f").alias("g")), ["draw", "r", "c"])
     return lag.groupBy("draw").agg(F.round(F.stddev_pop("f"), 6).alias("sd"), F.round(F.corr("f", "g"), 6).alias("rho"))
 
 
+def world_inputs(spark, sf):
+    """The whole lattice with its nodes: ground, disturbed node days about it, the five nearest nodes of each cell."""
+    cells = fixture(spark, sf, "cells").select("r", "c", "dem", F.lit(0.5).alias("sigma"), ((F.col("c") == 0) & (F.col("dem") < 26)).alias("seed"), (F.col("r") >= 20).cast("int").alias("zone"))
+    heights = _node_days(spark, sf).withColumn("h", 22 + F.col("h") / 40)
+    p = cells.select("r", "c", (F.col("c") * 100.0).alias("x"), (F.col("r") * 100.0).alias("y"))
+    return cells, heights, J.nearest(p, fixture(spark, sf, "nodes"), 5, 1500.0, ["r", "c"], "node").select("r", "c", "node")
+
+
 @query("ensemble_worlds", None)
 def ensemble_worlds(spark, sf):
-    cells, levels = X.synthetic_domain(spark, 30, 60, 8)
-    return X.worlds(cells, levels, 6, tile=16)
+    """Four worlds over the whole lattice and all its days; tests hold them against flood fills cell by cell."""
+    w = X.worlds(*world_inputs(spark, sf), 4, 10, cell_m=100.0, structures=[(1.0, 500.0, "exponential")], batch=2)
+    return rounded(w, "potential_km2", "baseline_km2", "new_km2", "potential_hm3", "new_hm3")
+
+
+def _river(spark, sf, base: float):
+    """Daily mean level of all nodes, in seconds from the first day."""
+    n = _node_days(spark, sf).groupBy("day_no").agg(F.avg("h").alias("h"))
+    return n.select((F.col("day_no") * 86400.0).alias("t"), (base + F.col("h") / 20).alias("level"))
+
+
+def _level_tables(spark, sf):
+    """Wet area by level of the four bands of ten rows of the lattice."""
+    t = level_tables(fixture(spark, sf, "cells"), 10, [float(x) for x in range(12, 42, 3)], 10_000.0)
+    return t.groupBy(F.col("block_r").cast("long").alias("cell"), "level").agg(F.sum("area").cast("double").alias("area"))
 
 
 @query("storage_cells", None)
 def storage_cells(spark, sf):
-    runs = spark.range(4).select(F.col("id").alias("run"), (0.03 + 0.02 * F.col("id")).alias("roughness"))
-    return X.storage_cells(runs).withColumn("depth", F.round("depth", 6))
+    """Four bands of the lattice filled from the river over two days, for priors of a Latin hypercube."""
+    u = S.latin_hypercube(spark.range(6), 6, 3)
+    runs = u.select(F.col("id").alias("run"), S.log_uniform(F.col("u0"), 0.03, 0.15).alias("roughness"), S.log_uniform(F.col("u1"), 0.3, 3.0).alias("width_factor"), (S.log_uniform(F.col("u2"), 0.001, 0.1) / 86400).alias("loss"))
+    links = spark.createDataFrame([(-1, 0, 24.0, 50.0, 400.0), (0, 1, 24.5, 40.0, 900.0), (0, 2, 24.5, 40.0, 900.0), (1, 3, 25.0, 30.0, 900.0), (2, 3, 25.0, 30.0, 900.0)], "a long, b long, bed double, width double, length double")
+    x = X.storage_cells(runs, _level_tables(spark, sf), links, _river(spark, sf, 24.0), 2 * 86400.0)
+    return rounded(x, "level", "area", "volume", "let_in", "lost", digits=4)
 
 
 @query("weir_reservoir", None)
 def weir_reservoir(spark, sf):
-    runs = spark.range(3).select(F.col("id").alias("run"), F.lit(8.8).alias("crest"), (1.4 + 0.1 * F.col("id")).alias("coefficient"), F.lit(30.0).alias("width"))
-    return X.weir_reservoir(runs).groupBy("run").agg(F.round(F.max("level"), 6).alias("highest"), F.round(F.max_by("level", "step"), 6).alias("last"))
+    """One basin behind a crest through the whole hydrograph, as a weir and as a channel."""
+    table = _level_tables(spark, sf).groupBy("level").agg(F.sum("area").alias("area"))
+    u = S.latin_hypercube(spark.range(4), 4, 3)
+    runs = u.select(F.col("id").alias("run"), F.when(F.col("id") % 2 == 0, "weir").otherwise("friction").alias("form"), (24.5 + F.col("u0")).alias("crest"), F.lit(30.0).alias("width"), (1.4 + 0.3 * F.col("u1")).alias("coefficient"),
+                    S.log_uniform(F.col("u2"), 0.03, 0.15).alias("roughness"), F.lit(500.0).alias("length"), F.lit(-0.5).alias("floor"), F.lit(0.005 / 86400).alias("loss"))
+    x = X.reservoir(runs, table, _river(spark, sf, 24.0))
+    return rounded(x.groupBy("run").agg(F.max("level").alias("highest"), F.max_by("level", "t").alias("last"), F.max("area").alias("largest"), F.sum(F.greatest(F.col("flow"), F.lit(0.0))).alias("inflow")), "highest", "last", "largest", "inflow", digits=4)
 
 
 @query("saddle_level", "WITH RECURSIVE lv AS (SELECT DISTINCT dem AS level FROM cells), b AS (SELECT r, c, dem, level FROM cells, lv WHERE dem <= level), reach AS (SELECT level, r, c FROM b WHERE c = 0 UNION SELECT b.level, b.r, b.c FROM reach a JOIN b ON a.level = b.level AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1) SELECT 0::BIGINT AS zone, min(level) AS saddle FROM reach WHERE c = 39", on="cells")
@@ -131,8 +178,12 @@ def saddle_level(df):
 
 @query("variogram_fit", None)
 def variogram_fit(spark, sf):
+    """One exponential, and an exponential nested with a spherical one, on the semivariogram of all node pairs."""
     from gridloom.plans.relations import variogram_pairs
 
     v = variogram_pairs(spark, sf).groupBy("lag").agg(F.count("*").alias("n"), F.avg(0.5 * F.col("dr") ** 2).alias("g")).orderBy("lag").collect()  # a row per lag
-    nugget, sill, reach = X.fit_exponential([250.0 * r.lag + 125 for r in v], [r.g for r in v], [r.n for r in v])
-    return spark.createDataFrame([(round(nugget, 4), round(sill, 4), round(reach, 2))], "nugget double, sill double, range_m double")
+    rows = []
+    for models in (("exponential",), ("exponential", "spherical")):
+        f = X.fit_variogram([250.0 * r.lag + 125 for r in v], [r.g for r in v], [r.n for r in v], models)
+        rows += [("+".join(models), m, round(f["nugget"], 4), round(s, 4), round(r, 2)) for m, s, r in zip(models, f["sills"], f["ranges"], strict=True)]
+    return spark.createDataFrame(rows, "fit string, model string, nugget double, sill double, range_m double")

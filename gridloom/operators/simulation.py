@@ -355,7 +355,7 @@ def saddle(cells: DataFrame, by, sources: str = "seed", target: str = "target",
     return cells.groupBy(*by).applyInPandas(flood, ", ".join(f"`{b}` {types[b]}" for b in by) + ", saddle double")
 
 
-def fit_variogram(lags: list[float], gammas: list[float], counts: list[int], models: tuple[str, ...] = ("exponential",), shortest: float = 10.0, longest: float = 20_000.0, grid: int = 48, rounds: int = 16) -> dict:
+def fit_variogram(lags: list[float], gammas: list[float], counts: list[int], models: tuple[str, ...] = ("exponential",), shortest: float = 10.0, longest: float = 20_000.0, grid: int = 48, rounds: int = 40) -> dict:
     """Nugget, and a sill and range per model of a nested variogram, by least squares weighted with the counts; ranges ascend, no term is below 0.
 
     For given ranges the terms are linear: of all subsets of terms the best one without a negative term is taken. Ranges are searched on a
@@ -391,5 +391,5 @@ def fit_variogram(lags: list[float], gammas: list[float], counts: list[int], mod
             if best is None or loss < best[0] - 1e-15:
                 best = (loss, x, ranges)
         axes = [np.clip(r * ratio ** np.linspace(-1, 1, 9), shortest, longest) for r in best[2]]
-        ratio **= 0.7
+        ratio **= 0.85
     return {"nugget": float(best[1][0]), "sills": [float(v) for v in best[1][1:]], "ranges": [float(r) for r in best[2]], "loss": best[0]}

@@ -49,3 +49,27 @@ def checksum(df: DataFrame) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, with their side."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).union(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
+def kept_features(names: list[str], exclude: str) -> list[str]:
+    """Feature names that the pattern does not match."""
+    import re
+
+    return [n for n in names if not re.search(exclude, n)]
+
+
+def within(df: DataFrame, measured: str, stored: str, tolerance: float) -> DataFrame:
+    """df with holds: measured and stored differ by at most the tolerance; a missing number never holds."""
+    return df.withColumn("holds", F.coalesce(F.abs(F.col(measured) - F.col(stored)) <= tolerance + 1e-9, F.lit(False)))
+
+
+def digests(df: DataFrame, keys, line, order: str) -> DataFrame:
+    """Rows and sha256 of the ordered lines of each part; a part is a small publication table."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(rows, lambda x: x["l"]), "\n"), 256).alias("digest"))
+
+
+def frozen(now: DataFrame, then: DataFrame, keys) -> DataFrame:
+    """Every part of now with frozen: its digest is the recorded one."""
+    old = then.select(*keys, F.col("digest").alias("_then"))
+    return now.join(old, list(keys), "left").withColumn("frozen", F.col("digest").eqNullSafe(F.col("_then"))).drop("_then")

@@ -25,11 +25,6 @@ def potential(cells: DataFrame, seed: DataFrame, rule: str = "connected_ceiling"
     return connected_to(below, seed.select("r", "c").crossJoin(days), connectivity, by, tile)  # seed cells once per day
 
 
-def new_water(pot: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Potential cells that the baseline lacks."""
-    return pot.join(baseline.select("r", "c").distinct(), ["r", "c"], "left_anti")
-
-
 def accounting(pot: DataFrame, baseline: DataFrame, cells: DataFrame, zone: str, by: str = "day", area_km2: float = 0.0004, cell_m2: float = 400.0) -> DataFrame:
     """Areas and volumes per day and zone: potential, baseline, new."""
     b = baseline.select("r", "c").distinct().withColumn("base", F.lit(True))

@@ -56,6 +56,44 @@ def nested(df: DataFrame, features: list[str], label: str, outer: str, inner: st
     return reduce(DataFrame.unionByName, rows)
 
 
+def choose(df: DataFrame, features: list[str], label: str, fold: str, folds: int, grid: list[tuple[int, int]]) -> DataFrame:
+    """trees, depth, median_ap, chosen: every parameter set by the median of its out-of-fold average precision over the folds; of equal ones the smaller."""
+    rows = []
+    for trees, depth in grid:
+        scored = out_of_fold(df, features, label, fold, folds, trees=trees, depth=depth)
+        rows.append((trees, depth, average_precision(scored, "score", label, [fold]).agg(F.median("ap")).first()[0]))
+    best = max(rows, key=lambda r: (r[2] if r[2] is not None else -1.0, -r[0], -r[1]))
+    return df.sparkSession.createDataFrame([(*r, r == best) for r in rows], "trees int, depth int, median_ap double, chosen boolean")
+
+
+def importances(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
+    """feature, importance (they add up to 1) and rank of the forest over all rows."""
+    found = _forest(df, features, label, trees, depth, seed).featureImportances.toArray().tolist()
+    ranked = sorted(zip(features, found, strict=True), key=lambda x: (-x[1], x[0]))
+    return df.sparkSession.createDataFrame([(f, v, k + 1) for k, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")
+
+
+def transfer(df: DataFrame, features: list[str], label: str, frame: str, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
+    """source, target, ap: a forest of each frame judged in each other frame, where it saw nothing."""
+    names, rows = sorted(r[0] for r in df.select(frame).distinct().collect()), []  # a row per frame
+    for a in names:
+        model = _forest(df.filter(F.col(frame) == a), features, label, trees, depth, seed)
+        scored = score_with(model, df.filter(F.col(frame) != a), features)
+        rows.append(average_precision(scored, "score", label, [frame]).select(F.lit(a).alias("source"), F.col(frame).alias("target"), "ap"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def surface_classes(df: DataFrame, features: list[str], label: str, least: float = 0.5, uncertain: int = 0, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
+    """df with surface and probability: the most probable class of a forest of all classes, `uncertain` below the least probability."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    model = _forest(df, features, label, trees, depth, seed)
+    p = vector_to_array("probability")
+    x = model.transform(VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df)).withColumn("probability", F.array_max(p))
+    return x.withColumn("surface", F.when(F.col("probability") >= least, F.col("prediction").cast("int")).otherwise(uncertain)).drop("_x", "rawPrediction", "prediction")
+
+
 def quantised(df: DataFrame, score: str, threshold: int) -> DataFrame:
     """Scores as integers below the scale, and the state: at or above the threshold."""
     q = F.least(F.rint(F.col(score) * SCORE_SCALE), F.lit(float(SCORE_SCALE - 1))).cast("int")

@@ -8,7 +8,7 @@ from gridloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "composite_windows"
 
-for _module in ("cells", "relations", "evaluation", "series", "lattice", "simulation", "storage", "learning", "evidence"):
+for _module in ("cells", "relations", "evaluation", "series", "lattice", "simulation", "storage", "learning", "evidence", "frames"):
     importlib.import_module(f"gridloom.plans.{_module}")
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -61,14 +61,21 @@ def esri_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, floa
 
 
 def rings(spark: SparkSession, path: str) -> list[list[tuple[float, float]]]:
-    """Outer rings of a small GeoJSON's polygons, for point-in-polygon expressions."""
+    """Outer rings of the polygons of all small GeoJSON documents under a path, for point-in-polygon expressions."""
     import json
 
-    doc = json.loads(spark.read.text(path, wholetext=True).first()[0])  # one document
-    shapes = [f["geometry"] for f in doc.get("features", [])]
+    docs = [json.loads(r[0]) for r in spark.read.text(path, wholetext=True).collect() if r[0].strip()]  # shapes that go into an expression
+    shapes = [f["geometry"] for doc in docs for f in doc.get("features", [])]
     return [[tuple(p[:2]) for p in ring[:-1]] for s in shapes for ring in ([s["coordinates"][0]] if s["type"] == "Polygon" else [q[0] for q in s["coordinates"]])]
 
 
+def yearbook(wide: DataFrame, keys: list[str], year: str = "year", day: str = "d") -> DataFrame:
+    """Pages of a gauge yearbook (a row per day of the month, columns 1 to 12) as daily rows: keys, day, h. Days that a month lacks have no value."""
+    months = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(f"`{m}`").cast("double").alias("h")) for m in range(1, 13))))
+    x = wide.select(*keys, year, day, months.alias("v")).filter("v.h IS NOT NULL")
+    return x.select(*keys, F.expr(f"make_date(`{year}`, v.m, `{day}`)").alias("day"), F.col("v.h").alias("h"))
+
+
 def scene_metadata(xml: Column) -> dict[str, Column]:
     """Fields of a scene's XML description: quantification, baseline, sensing day and the offsets by band."""
     at = lambda tag: F.regexp_extract(xml, rf"<{tag}[^>]*>([^<]*)</{tag}>", 1)

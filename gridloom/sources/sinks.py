@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from gridloom.operators.dedup import best_per_key
 from gridloom.operators.gates import checksum
 from gridloom.operators.joins import upsert
 from gridloom.schema import INDEX_SCALE
-from gridloom.staging import shared_dir
 
 
 def write_cells(df: DataFrame, path: str, tile: int = 512, rows_per_file: int = 5_000_000) -> None:
@@ -20,17 +21,42 @@ def write_cells(df: DataFrame, path: str, tile: int = 512, rows_per_file: int =
 
 
 def publish(df: DataFrame, path: str) -> DataFrame:
-    """Write beside the target, read back, compare counts and checksums, then overwrite the target from the checked copy."""
+    """Write beside the target, read back, compare counts and checksums, then move the checked copy into the target's place.
+
+    The old table is moved aside first and deleted last, so at every moment one whole copy exists under the target's name or beside it.
+    """
     spark = df.sparkSession
-    part = f"{shared_dir(spark)}/part"
+    part, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{x}" for x in ("part", "old"))
     df.write.parquet(part)
     back = spark.read.schema(df.schema).parquet(part)
     if checksum(df).first() != checksum(back).first():
         raise IOError(f"what was read back differs from what was written to {path}")
-    back.write.mode("overwrite").parquet(path)
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    store = as_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = store.exists(as_path(path))
+    if had and not store.rename(as_path(path), as_path(old)):
+        raise IOError(f"{path} could not be moved aside")
+    if not store.rename(as_path(part), as_path(path)):
+        if had:
+            store.rename(as_path(old), as_path(path))
+        raise IOError(f"the checked copy could not be moved to {path}")
+    if had:
+        store.delete(as_path(old), True)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ascii_grid(cells: DataFrame, path: str, cell: float, nodata: float = -9999.0) -> None:
+    """A whole lattice (r, c, z) as one ESRI ASCII grid: a line per row, in one file, since the format is one."""
+    size = cells.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    every = F.sequence(F.lit(0).cast("long"), F.lit(size.c).cast("long"))
+    rows = cells.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("long"), F.coalesce("z", F.lit(nodata))))).alias("z"))
+    lines = cells.sparkSession.range(size.r + 1).withColumnRenamed("id", "r").join(rows, "r", "left")
+    line = F.array_join(F.transform(every, lambda c: F.coalesce(F.try_element_at("z", c), F.lit(nodata)).cast("string")), " ")
+    head = [f"ncols {size.c + 1}", f"nrows {size.r + 1}", "xllcorner 0", "yllcorner 0", f"cellsize {cell}", f"NODATA_value {nodata}"]
+    top = cells.sparkSession.createDataFrame([(k - len(head), x) for k, x in enumerate(head)], "r long, value string")
+    top.union(lines.select("r", line)).coalesce(1).sortWithinPartitions("r").select("value").write.mode("overwrite").text(path)
+
+
 def ledger(old: DataFrame, new: DataFrame, keys, version: str) -> DataFrame:
     """Old and new rows, the last version of each key."""
     return best_per_key(old.unionByName(new), keys, [F.col(version).desc()])

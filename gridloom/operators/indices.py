@@ -82,7 +82,3 @@ def stretch_to_byte(x: Column, valid: Column, low: float = 0.0, high: float = 0.
 def depth(surface: Column, ground: Column) -> Column:
     """Water depth where the surface is above the ground, else NULL."""
     return F.when(surface > ground, surface - ground)
-
-
-def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns(columns)

@@ -125,14 +125,9 @@ def peak_dates(df):
     return rounded(E.peak_dates(df.filter("draw <> 7"), "area", "region"), "share")
 
 
-@query("convergence", "SELECT m AS n_draws, date, round(quantile_cont(area, 0.05), 6) AS p05, round(quantile_cont(area, 0.5), 6) AS p50, round(quantile_cont(area, 0.95), 6) AS p95 FROM draws, (SELECT unnest([10, 20, 40]) AS m) WHERE region = 1 AND draw <= m GROUP BY m, date", on="draws")
+@query("convergence", "SELECT m AS n_draws, region, date, round(quantile_cont(area, 0.05), 6) AS p05, round(quantile_cont(area, 0.5), 6) AS p50, round(quantile_cont(area, 0.95), 6) AS p95 FROM draws, (SELECT unnest([10, 20, 40]) AS m) WHERE draw <= m GROUP BY m, region, date", on="draws")
 def convergence(df):
-    return rounded(E.convergence(df.filter("region = 1"), "area", [10, 20, 40]), "p05", "p50", "p95")
-
-
-@query("convergence_whole", None, on="draws")
-def convergence_whole(df):
-    """convergence of each region."""
+    """Quantiles over the first draws, for each region."""
     each = df.withColumn("at", F.struct("region", "date"))
     return rounded(E.convergence(each, "area", [10, 20, 40], date="at").select("n_draws", "at.region", "at.date", "p05", "p50", "p95"), "p05", "p50", "p95")
 

@@ -50,14 +50,9 @@ def label_tiers(df):
 _FOOT = "f AS (SELECT r, c, CASE WHEN c < 18 THEN 'train' WHEN c < 26 THEN 'val' ELSE 'test' END AS role FROM cells WHERE r % 6 = 0 AND c % 5 = 0)"
 
 
-@query("split_leaks", f"WITH {_FOOT} SELECT a.r AS ar, a.c AS ac, a.role AS a_role, b.r AS br, b.c AS bc, b.role AS b_role FROM f a JOIN f b ON a.role < b.role AND abs(a.r - b.r) < 7 AND abs(a.c - b.c) < 7", on="cells")
+@query("split_leaks", f"WITH {_FOOT.replace(' WHERE r % 6 = 0 AND c % 5 = 0', '')} SELECT a.r AS ar, a.c AS ac, a.role AS a_role, b.r AS br, b.c AS bc, b.role AS b_role FROM f a JOIN f b ON a.role < b.role AND abs(a.r - b.r) < 7 AND abs(a.c - b.c) < 7", on="cells")
 def split_leaks(df):
-    return split_leaks_whole(df.filter("r % 6 = 0 AND c % 5 = 0"))
-
-
-@query("split_leaks_whole", f"WITH {_FOOT.replace(' WHERE r % 6 = 0 AND c % 5 = 0', '')} SELECT a.r AS ar, a.c AS ac, a.role AS a_role, b.r AS br, b.c AS bc, b.role AS b_role FROM f a JOIN f b ON a.role < b.role AND abs(a.r - b.r) < 7 AND abs(a.c - b.c) < 7", on="cells")
-def split_leaks_whole(df):
-    """split_leaks with a footprint at every cell."""
+    """A footprint at every cell."""
     role = F.when(F.col("c") < 18, "train").when(F.col("c") < 26, "val").otherwise("test")
     return V.leaks(df.select("r", "c", role.alias("role")), 4, 3)
 

@@ -30,17 +30,12 @@ def quantised_scores(df):
     return L.quantised(df, "s", 5000).select("id", "q", "state")
 
 
-_T = "t AS (SELECT tr, tc, i, j, dem AS s FROM cells, (SELECT unnest([0, 4, 8]) AS tr), (SELECT unnest([0, 4, 8]) AS tc), (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j) WHERE r = tr + i AND c = tc + j)"
+_T = "t AS (SELECT tr, tc, i, j, dem AS s FROM cells, (SELECT unnest(range(0, 33, 4)) AS tr), (SELECT unnest(range(0, 33, 4)) AS tc), (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j) WHERE r = tr + i AND c = tc + j)"
 
 
 @query("blended_tiles", f"WITH {_T}, w AS (SELECT *, pow(sin(pi() * (i + 0.5) / 8), 2) * pow(sin(pi() * (j + 0.5) / 8), 2) AS w FROM t) SELECT tr + i AS r, tc + j AS c, round(sum(s * w) / sum(w), 6) AS score FROM w GROUP BY 1, 2", on="cells")
 def blended_tiles(df):
-    return blend(df, F.array(F.lit(0), F.lit(4), F.lit(8)))
-
-
-@query("blended_tiles_whole", None, on="cells")
-def blended_tiles_whole(df):
-    """blended_tiles over the full lattice of 40 x 40 cells."""
+    """Tiles over the full lattice of 40 x 40 cells."""
     return blend(df, F.sequence(F.lit(0), F.lit(32), F.lit(4)))
 
 

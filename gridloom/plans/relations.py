@@ -56,16 +56,9 @@ def join_semi_anti(spark, sf):
     return count("semi").union(count("anti"))
 
 
-@query("join_scene_pairs", "WITH s AS (SELECT DISTINCT orbit, r % 4 AS dir, win, day FROM sar WHERE c = 3 AND month(day) = 6) SELECT a.orbit, a.dir, count(*) AS n_pairs, min(a.day - b.day)::INT AS min_gap FROM s a JOIN s b ON a.orbit = b.orbit AND a.dir = b.dir AND a.win = 'event' AND b.win = 'pre' GROUP BY a.orbit, a.dir", on="sar")
+@query("join_scene_pairs", "WITH s AS (SELECT DISTINCT orbit, r % 4 AS dir, win, day FROM sar) SELECT a.orbit, a.dir, count(*) AS n_pairs, min(a.day - b.day)::INT AS min_gap FROM s a JOIN s b ON a.orbit = b.orbit AND a.dir = b.dir AND a.win = 'event' AND b.win = 'pre' GROUP BY a.orbit, a.dir", on="sar")
 def join_scene_pairs(df):
-    s = df.filter("c = 3 AND month(day) = 6").select("orbit", (F.col("r") % 4).alias("dir"), "win", "day").distinct()
-    a, b = (s.filter(F.col("win") == w).select("orbit", "dir", F.col("day").alias(w)) for w in ("event", "pre"))
-    return a.join(b, ["orbit", "dir"]).groupBy("orbit", "dir").agg(F.count("*").alias("n_pairs"), F.min(F.datediff("event", "pre")).alias("min_gap"))
-
-
-@query("join_scene_pairs_whole", None, on="sar")
-def join_scene_pairs_whole(df):
-    """join_scene_pairs over all cells and months: each side is counted before the join, so no pair is made."""
+    """Pairs of scenes of all cells and months: each side is counted before the join, so no pair is made."""
     s = df.select("orbit", (F.col("r") % 4).alias("dir"), "win", "day").distinct()
     side = lambda w: s.filter(F.col("win") == w).groupBy("orbit", "dir").agg(F.count("*").alias(f"n_{w}"), F.min("day").alias(f"first_{w}"), F.max("day").alias(f"last_{w}"))
     x = side("event").join(side("pre"), ["orbit", "dir"])
@@ -87,14 +80,9 @@ def as_of_latest_version(spark, sf):
     return rounded(x.select("node", "day", "version_day", "version"), "version")
 
 
-@query("same_season_partner", "WITH a AS (SELECT DISTINCT day, dayofyear(day) AS doy FROM cell_day WHERE r = 1 AND year(day) = 1996), b AS (SELECT DISTINCT day, dayofyear(day) AS doy FROM cell_day WHERE r = 1 AND year(day) = 1995) SELECT a.day, arg_min(b.day, (abs(a.doy - b.doy), b.day)) AS partner FROM a JOIN b ON abs(a.doy - b.doy) <= 12 GROUP BY a.day", on="cell_day")
+@query("same_season_partner", "WITH a AS (SELECT DISTINCT day, dayofyear(day) AS doy FROM cell_day WHERE year(day) = 1996), b AS (SELECT DISTINCT day, dayofyear(day) AS doy FROM cell_day WHERE year(day) = 1995) SELECT a.day, arg_min(b.day, (abs(a.doy - b.doy), b.day)) AS partner FROM a JOIN b ON abs(a.doy - b.doy) <= 12 GROUP BY a.day", on="cell_day")
 def same_season_partner(df):
-    return season_partners(df.filter("r = 1"))
-
-
-@query("same_season_partner_whole", None, on="cell_day")
-def same_season_partner_whole(df):
-    """same_season_partner over the days of all rows of the lattice."""
+    """Partners for the days of all rows of the lattice."""
     return season_partners(df)
 
 

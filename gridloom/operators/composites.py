@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.joins import small
+from gridloom.operators.ordering import wide_median
+from gridloom.staging import stage
+
 KEYS = ("r", "c")
 
 
@@ -77,23 +81,43 @@ def robust_baseline(df: DataFrame, value: str, keys, floor: float = 0.1) -> Data
     return dev.select(*keys, "med", "n", F.greatest("_mad", F.lit(floor)).alias("mad"))
 
 
+def wide_baseline(df: DataFrame, value: str, keys=(), weight: str | None = None) -> DataFrame:
+    """robust_baseline without a floor for few, large groups: its medians are found by ranges of the order, so no task holds a group.
+
+    Only distinct values and their counts are handled. weight: a column of counts, if df has them already.
+    """
+    keys = list(keys)
+    counted = df.groupBy(*keys, F.col(value).alias("_x")).agg((F.sum(weight) if weight else F.count("*")).alias("_w"))
+    med = wide_median(counted, "_x", keys, "_w")
+    if not keys:
+        counted, med, keys = counted.withColumn("_one", F.lit(0)), med.withColumn("_one", F.lit(0)), ["_one"]
+    m = med.select(*(F.col(k).alias(f"_m_{i}") for i, k in enumerate(keys)), F.col("med").alias("_m"))
+    dev = counted.join(m, [F.col(k).eqNullSafe(F.col(f"_m_{i}")) for i, k in enumerate(keys)]).select(*keys, F.abs(F.col("_x") - F.col("_m")).alias("_d"), "_w")
+    mad = wide_median(dev, "_d", keys, "_w", "mad", "_n").drop("_n").alias("d")
+    both = med.alias("m").join(mad, [F.col(f"m.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys])
+    return both.select(*(F.col(f"m.{k}") for k in keys if k != "_one"), "med", "n", "mad")
+
+
 def nmad(df: DataFrame, value: str, keys=(), scale: float = 1.4826) -> DataFrame:
-    base = robust_baseline(df, value, keys, 0.0) if keys else robust_baseline(df.withColumn("_all", F.lit(0)), value, ["_all"], 0.0)
-    return base.select(*keys, "med", "n", (F.col("mad") * scale).alias("nmad"))
+    return wide_baseline(df, value, keys).select(*keys, "med", "n", (F.col("mad") * scale).alias("nmad"))
 
 
 def robust_z(df: DataFrame, value: str, keys, out: str = "z") -> DataFrame:
-    """(median - x) / (1.4826 MAD) per row, 0 where the spread is 0 or undefined."""
-    base = robust_baseline(df, value, keys, 0.0).select(*keys, F.col("med").alias("_m"), (F.col("mad") * 1.4826).alias("_s"))
+    """(median - x) / (1.4826 MAD) per row, 0 where the spread is 0 or undefined. The groups' figures are broadcast if they were counted as few."""
+    base = wide_baseline(df, value, keys).select(*keys, F.col("med").alias("_m"), (F.col("mad") * 1.4826).alias("_s"))
     z = F.when(F.col("_s") > 0, (F.col("_m") - F.col(value)) / F.col("_s")).otherwise(F.lit(0.0))
-    return df.join(base, list(keys)).withColumn(out, z).drop("_m", "_s")
+    return df.join(small(stage(base, "baseline")), list(keys)).withColumn(out, z).drop("_m", "_s")
 
 
 def leave_one_out(df: DataFrame, value: str, keys, item: str) -> DataFrame:
-    """Median and MAD of every group without one of its items, for each item: (item, group, med, mad, n)."""
+    """Median and MAD of every group without one of its items, for each item: (item, group, med, mad, n).
+
+    Equal values of an item are counted before they are repeated for the other items.
+    """
     a = df.select(*keys, F.col(item).alias("held")).distinct()
-    pairs = a.join(df, list(keys)).filter(F.col(item) != F.col("held"))
-    return robust_baseline(pairs, value, [*keys, "held"], 0.0)
+    counted = df.groupBy(*keys, item, value).agg(F.count("*").alias("_c"))
+    pairs = small(stage(a, "items")).join(counted, list(keys)).filter(F.col(item) != F.col("held"))
+    return wide_baseline(pairs, value, [*keys, "held"], "_c")
 
 
 def histogram(df: DataFrame, value: str, edges: list[float], keys=()) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ordering import last_seen
+from gridloom.staging import release, stage
+
 #: Rows up to which a dimension table is broadcast.
 MOST_BROADCAST = 100_000
 
@@ -39,7 +42,8 @@ def salted_join(many: DataFrame, one: DataFrame, on, weight: str, total: int, ho
 def as_of(left: DataFrame, right: DataFrame, on: str, value: str, by=(), direction: str = "backward", inclusive: bool = True, out: str | None = None, out_on: str = "matched") -> DataFrame:
     """For each left row the right row nearest before (or after) it: one union, one sort, one running last value; no range join.
 
-    Equal keys match if `inclusive`. Of several right rows with one key, the largest value is taken.
+    Equal keys match if `inclusive`. Of several right rows with one key, the largest value is taken. Without `by` the sort is cut into
+    ranges, each of which starts from the last value of the ranges before it.
     """
     by = list(by)
     out = out or value
@@ -51,8 +55,12 @@ def as_of(left: DataFrame, right: DataFrame, on: str, value: str, by=(), directi
     names = [*by, on, "_side", "_v", "_row"]
     both = l2.select(names).unionByName(r2.select(names)).withColumn("_m", F.when(F.col("_side") != 1, F.struct(F.col(on).alias("k"), F.col("_v").alias("v"))))
     order = [F.col(on).desc() if forward else F.col(on).asc(), F.col("_side").asc()]
-    w = Window.partitionBy(*by or [F.lit(0)]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    done = both.withColumn("_l", F.last("_m", ignorenulls=True).over(w)).filter("_side = 1")
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        done = both.withColumn("_l", F.last("_m", ignorenulls=True).over(w))
+    else:  # the hash deals the left rows of one key over ranges
+        done = last_seen(both, [*order, F.xxhash64("_row")], "_m", "_l")
+    done = done.filter("_side = 1")
     return done.select("_row.*", F.col("_l.k").alias(out_on), F.col("_l.v").alias(out))
 
 
@@ -90,12 +98,22 @@ def nearest(points: DataFrame, nodes: DataFrame, k: int, radius: float, point_ke
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_cx", "_cy", "_nx", "_ny")
 
 
-def nearest_in_group(left: DataFrame, right: DataFrame, by, distance: Column, keys, order, most: Column | None = None) -> DataFrame:
-    """Join on `by`, keep per `keys` the row of least distance (ties by `order`), drop it if it is beyond `most`: nearest first, then the cutoff."""
-    w = Window.partitionBy(*keys).orderBy("_d", *order)
-    met = left.join(right, list(by)).withColumn("_d", distance).withColumn("_k", F.row_number().over(w)).filter("_k = 1")
-    met = met if most is None else met.filter(F.col("_d") <= most)
-    return met.withColumnRenamed("_d", "distance").drop("_k")
+def nearest_outwards(points: DataFrame, nodes: DataFrame, radii: list[float], point_key, node_key: str, x: str = "x", y: str = "y") -> DataFrame:
+    """The nearest node within the last of the growing `radii`, as nearest() with k = 1: a point meets the nodes of a wider radius only if
+    no node lies within the one before. Points without any node are left out."""
+    keys = list(point_key) if isinstance(point_key, (list, tuple)) else [point_key]
+    found, left = [], points
+    for i, radius in enumerate(radii):
+        found.append(stage(nearest(left, nodes, 1, radius, keys, node_key, x, y), "nearest"))
+        if i + 1 < len(radii):
+            rest = stage(left.join(found[-1].select(*keys), keys, "left_anti"), "left")
+            if i:
+                release(left)
+            left = rest
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def neighbours(df: DataFrame, offsets, r: str = "r", c: str = "c", also=()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.metrics import lcg
+from gridloom.operators.ordering import ranked_globally
 
 #: Blocks that the greedy assignment takes to one process; it is sequential by definition.
 MOST_BLOCKS = 1_000_000
@@ -68,9 +69,9 @@ def latin_hypercube(df: DataFrame, n: int, dimensions: int, id_col: str = "id",
     """A permutation of n strata per dimension, and a place inside each: columns u0, u1, ..."""
     out = df
     for d in range(dimensions):
-        w = Window.orderBy(key(F.col(id_col), seed=seed + 101 * d), id_col)
         jitter = F.pmod(key(F.col(id_col), seed=seed + 577 * d + 13), F.lit(1024)) / 1024
-        out = out.withColumn(f"u{d}", (F.row_number().over(w) - 1 + jitter) / n)
+        ranked = ranked_globally(out, [key(F.col(id_col), seed=seed + 101 * d), F.col(id_col)], "_rank")
+        out = ranked.withColumn(f"u{d}", (F.col("_rank") - 1 + jitter) / n).drop("_rank")
     return out
 
 

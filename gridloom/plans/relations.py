@@ -159,9 +159,7 @@ def frame_overlap(spark, sf):
 @query("nearest_centroid", "WITH z AS (SELECT wc, avg(c) * 100.0 AS x, avg(r) * 100.0 AS y FROM cells WHERE n > 40 GROUP BY wc), d AS (SELECT n.node, z.wc, sqrt((n.x - z.x) ** 2 + (n.y - z.y) ** 2) AS dist, row_number() OVER (PARTITION BY n.node ORDER BY round(sqrt((n.x - z.x) ** 2 + (n.y - z.y) ** 2), 9), z.wc) AS k FROM nodes n, z) SELECT node, wc, round(dist, 6) AS distance FROM d WHERE k = 1 AND dist <= 1500")
 def nearest_centroid(spark, sf):
     z = fixture(spark, sf, "cells").filter("n > 40").groupBy("wc").agg((F.avg("c") * 100.0).alias("zx"), (F.avg("r") * 100.0).alias("zy"))
-    one = F.lit(0).alias("one")  # seven classes at most
-    d = F.round(F.hypot(F.col("x") - F.col("zx"), F.col("y") - F.col("zy")), 9)
-    x = J.nearest_in_group(fixture(spark, sf, "nodes").select("*", one), F.broadcast(z.select("*", one)), ["one"], d, ["node"], ["wc"], F.lit(1500.0))
+    x = J.nearest(fixture(spark, sf, "nodes").select("node", "x", "y"), z.select("wc", F.col("zx").alias("x"), F.col("zy").alias("y")), 1, 1500.0, "node", "wc")
     return rounded(x.select("node", "wc", "distance"), "distance")
 
 

@@ -78,7 +78,7 @@ SELECT d.kind, d.gap, count(*) AS n, round(1.4826 * median(abs(res - med)), 6) A
 @query("gap_matched_cv", _CV, on="node_day")
 def gap_matched_cv(df):
     """Every observation re-estimated from those at least g days away, booked where the nearest one is exactly g days away."""
-    from gridloom.operators.composites import robust_baseline
+    from gridloom.operators.composites import wide_baseline
 
     o = df.select("node", "day", "h").withColumn("gap", F.explode(F.array(*(F.lit(g) for g in (1, 2, 3, 4)))))
     k = df.select("node", F.struct(F.col("day").alias("d"), F.col("h").alias("v")).alias("k"))
@@ -88,7 +88,7 @@ def gap_matched_cv(df):
     r = r.filter(F.least(a, b) == F.col("gap"))
     line = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * a / (a + b)
     r = r.select(F.when(F.col("p").isNotNull() & F.col("q").isNotNull(), "interpolated").otherwise("held").alias("kind"), "gap", (F.coalesce(line, F.col("p.v"), F.col("q.v")) - F.col("h")).alias("res"))
-    mad = robust_baseline(r, "res", ["kind", "gap"], 0.0).select("kind", "gap", "n", F.round(F.col("mad") * 1.4826, 6).alias("nmad"))
+    mad = wide_baseline(r, "res", ["kind", "gap"]).select("kind", "gap", "n", F.round(F.col("mad") * 1.4826, 6).alias("nmad"))
     return mad.join(r.groupBy("kind", "gap").agg(F.round(F.sqrt(F.avg(F.col("res") ** 2)), 6).alias("rmse")), ["kind", "gap"])
 
 
@@ -128,15 +128,15 @@ def distance_profile(spark, sf):
 @query("water_surface", "WITH p AS (SELECT r, c, c * 100.0 AS x, r * 100.0 AS y FROM cells), n AS (SELECT nodes.node, x, y, h FROM nodes LEFT JOIN node_day d ON d.node = nodes.node AND d.day = DATE '2024-01-10'), d AS (SELECT p.r, p.c, n.node, n.h, sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2) AS dist FROM p, n), k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY dist, node) AS rk FROM d WHERE dist <= 5000), a AS (SELECT r, c, median(h) FILTER (rk <= 5 AND dist <= 600) AS near, arg_min(h, rk) FILTER (h IS NOT NULL) AS chain FROM k GROUP BY r, c) SELECT r, c, CASE WHEN near IS NOT NULL THEN 0 WHEN chain IS NOT NULL THEN 1 ELSE 3 END AS support, round(coalesce(near, chain), 6) AS h FROM a")
 def water_surface(spark, sf):
     """Median of the five nearest nodes within a radius; where none of them has a height, the nearest one that has."""
-    from gridloom.operators.joins import nearest
+    from gridloom.operators.joins import nearest, nearest_outwards
 
     p = fixture(spark, sf, "cells").select("r", "c", (F.col("c") * 100.0).alias("x"), (F.col("r") * 100.0).alias("y"))
     h = fixture(spark, sf, "node_day").filter("day = '2024-01-10'").select("node", "h")
     n = fixture(spark, sf, "nodes").select("node", "x", "y")
-    k = nearest(p, n, 1000, 5000.0, ["r", "c"], "node").join(h, "node", "left")
-    near = F.median(F.when((F.col("rank") <= 5) & (F.col("distance") <= 600), F.col("h")))
-    chain = F.min_by(F.col("h"), F.when(F.col("h").isNotNull(), F.col("rank")))
-    a = k.groupBy("r", "c").agg(near.alias("near"), chain.alias("chain"))
+    near = nearest(p, n, 5, 600.0, ["r", "c"], "node").join(h, "node").groupBy("r", "c").agg(F.median("h").alias("near"))
+    chain = nearest_outwards(p, n.join(h.filter("h IS NOT NULL").select("node"), "node"), [600.0, 1200.0, 2400.0, 5000.0], ["r", "c"], "node").join(h, "node")
+    some = nearest_outwards(p, n, [600.0, 1200.0, 2400.0, 5000.0], ["r", "c"], "node").select("r", "c")
+    a = some.join(near, ["r", "c"], "left").join(chain.select("r", "c", F.col("h").alias("chain")), ["r", "c"], "left")
     return a.select("r", "c", F.when(F.col("near").isNotNull(), 0).when(F.col("chain").isNotNull(), 1).otherwise(3).alias("support"), F.round(F.coalesce("near", "chain"), 6).alias("h"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalar as V
 from gridloom.operators.grid import point_in_polygon
+from gridloom.operators.ordering import ranked_globally
 from gridloom.plans.cells import rounded
 from gridloom.plans.registry import query, table
 from gridloom.sources import readers as R
@@ -81,10 +82,8 @@ def product_inventory(df):
 
 @query("candidate_ranking", "SELECT node, round(n * 0.7 + x / 5000 * 0.3, 6) AS score, row_number() OVER (ORDER BY round(n * 0.7 + x / 5000 * 0.3, 6) DESC, node) AS rank FROM nodes WHERE n * 0.7 + x / 5000 * 0.3 > 10", on="nodes")
 def candidate_ranking(df):
-    from pyspark.sql import Window
-
     s = F.round(F.col("n") * 0.7 + F.col("x") / 5000 * 0.3, 6)
     x = df.select("node", s.alias("score")).filter("score > 10")
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "node")))
+    return ranked_globally(x, [F.col("score").desc(), F.col("node")])
 
 

@@ -115,6 +115,28 @@ def retained_verdict(kind: Column, flag: Column) -> Column:
     return F.when(F.coalesce(kind, F.lit("")) != "TRAPPED", "").when(flag == "S1_WATER", "RETAINED_PLAUSIBLE").when(flag == "S1_OPEN_SURFACE_NO_WATER", "LIKELY_DRAINED").otherwise("RETAINED_UNCERTAIN")
 
 
+def _decided(evidence: Column) -> Column:
+    return evidence.isin("S1_WATER", "S1_DRY", "S2_WATER", "S2_DRY")
+
+
+def day_evidence(optical: Column, optical_wet: Column, blind: Column, radar: Column, radar_wet: Column, plausible: Column, open_ground: Column) -> Column:
+    """What a day's images say of a cell. Optical images decide first. Where none was had, or it is blind to water under plants, radar may:
+    for water where water is plausible, for dry on open ground. BLIND: seen and undecided, NONE: not seen."""
+    optical_says = first_wins([(~true(optical), "NONE"), (optical_wet, "S2_WATER"), (~blind, "S2_DRY")], "BLIND")
+    radar_says = first_wins([(radar_wet & plausible, "S1_WATER"), (~radar_wet & open_ground, "S1_DRY")], "BLIND")
+    return F.when(true(radar) & ~_decided(optical_says), radar_says).otherwise(optical_says)
+
+
+def day_state(evidence: Column, probability: Column, reference_water: Column, receding: Column, weak: Column, wet: float = 0.8, dry: float = 0.05) -> Column:
+    """(state, source) of a cell-day: decided evidence, then permanent reference water, then the model where it is sure; a receding cell
+    without evidence is not called dry by the model alone."""
+    seen = _decided(evidence)
+    sure = (probability >= wet) | ((probability <= dry) & ~(true(receding) & ~reference_water))
+    state = first_wins([(seen, F.substring_index(evidence, "_", -1)), (reference_water | (probability >= wet), "WATER"), (sure, "DRY")], "UNKNOWN")
+    source = first_wins([(seen, F.concat(F.lit("EO_"), F.substring(evidence, 1, 2))), (reference_water, "REFERENCE"), (sure & weak, "MODEL_WEAK"), (sure, "MODEL_STRONG")], "NONE")
+    return F.struct(state.alias("state"), source.alias("source"))
+
+
 def digitize(x: Column, edges: Iterable[float]) -> Column:
     """Number of edges at or below x: bins closed on the left."""
     out = F.lit(0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ordering import wide_median
+
 
 def best_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -17,6 +19,32 @@ def first_valid_mosaic(df: DataFrame, keys, bands: list[str], priority: list[Col
     return seen.groupBy(*keys).agg(F.min_by(F.struct(*bands), "_p").alias("_b"), F.count("*").alias("n_sources")).select(*keys, "_b.*", "n_sources")
 
 
+def mosaic_seams(df: DataFrame, keys, scene: str, value: str, least: int = 5000) -> DataFrame:
+    """Per scene the cells that an earlier one had filled, and the median absolute difference from the mosaic there, NULL where they are no
+    more than `least`; the row without a scene is the median over scenes. df: valid cells, one row per cell and scene, taken in order of scene."""
+    first = F.first(value).over(Window.partitionBy(*keys).orderBy(scene))
+    earliest = F.min(scene).over(Window.partitionBy(*keys))
+    over = df.withColumns({"_d": F.abs(F.col(value) - first), "_first": earliest}).filter(F.col(scene) > F.col("_first"))
+    each = wide_median(over, "_d", [scene], out="_m", out_n="n_overlap").select(scene, "n_overlap", F.when(F.col("n_overlap") > least, F.col("_m")).alias("seam"))
+    whole = each.agg(F.lit(None).cast(dict(df.dtypes)[scene]).alias(scene), F.sum(F.when(F.col("seam").isNotNull(), F.col("n_overlap"))).alias("n_overlap"), F.median("seam").alias("seam"))
+    return each.union(whole)
+
+
+def state_on(df: DataFrame, keys, stamp: str, payload: str, day) -> DataFrame:
+    """Per element: when its first version is from, whether it existed on the day, its state then, and whether that is its last state too."""
+    then, now = F.max_by(payload, F.when(F.col(stamp) <= day, F.col(stamp))), F.max_by(payload, stamp)
+    got = df.groupBy(*keys).agg(F.min(stamp).alias("created"), F.max(F.col(stamp) <= day).alias("existed"), then.alias("state"), now.alias("_now"))
+    return got.withColumn("same", F.col("existed") & F.col("state").eqNullSafe(F.col("_now"))).drop("_now")
+
+
+def require_states(states: DataFrame, keys, current: bool = False) -> DataFrame:
+    """states, unless an element did not exist on the day (or, with `current`, has changed since)."""
+    bad = states.filter(~F.col("existed") if not current else ~F.col("same")).select(*keys).limit(5).collect()
+    if bad:
+        raise AssertionError(f"no such state on the day: {[tuple(r) for r in bad]}")
+    return states
+
+
 def last_paste(df: DataFrame, keys, value: str, order: str, skip_null: bool = False) -> DataFrame:
     """The value pasted last; a NULL pastes over what was there unless `skip_null`."""
     df = df.filter(F.col(value).isNotNull()) if skip_null else df

@@ -18,6 +18,13 @@ def gate_table(spark: SparkSession, gates: dict[str, tuple[DataFrame | None, flo
     return reduce(DataFrame.union, rows)
 
 
+def bounded_gates(measures: DataFrame, most: dict[str, float | None]) -> DataFrame:
+    """The one row of measures as a table of gates: gate, measured, most, status. A gate without a bound is REPORTED, not judged."""
+    status = lambda m, b: F.when(m.isNull(), "INCOMPLETE").otherwise(F.lit("REPORTED") if b is None else F.when(m <= b, "PASS").otherwise("FAIL"))
+    one = lambda g, b: F.struct(F.lit(g).alias("gate"), F.col(g).cast("double").alias("measured"), F.lit(b).cast("double").alias("most"), status(F.col(g), b).alias("status"))
+    return measures.select(F.explode(F.array(*(one(g, b) for g, b in most.items()))).alias("_g")).select("_g.*")
+
+
 def require(table: DataFrame) -> None:
     """Raise if any gate did not pass."""
     bad = table.filter("status <> 'PASS'").select("gate", "status").collect()  # a row per gate

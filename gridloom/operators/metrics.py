@@ -41,6 +41,24 @@ def csi_bounds(tp: Column, fp: Column, fn: Column, unknown_wet: Column, unknown_
     }
 
 
+def reference_counts(df: DataFrame, predicted: Column, reference: Column, was_wet: Column, keys=()) -> DataFrame:
+    """Cells and predicted cells on each kind of reference: 2 standing water (wet or dry before), 1 event flood, 0 land, anything else unknown."""
+    hit = F.coalesce(predicted, F.lit(False))
+    wet = F.coalesce(was_wet, F.lit(False))
+    kinds = {"water": reference == 2, "water_was_wet": (reference == 2) & wet, "water_was_dry": (reference == 2) & ~wet, "event": reference == 1, "land": reference == 0, "unknown": ~F.coalesce(reference.isin(0, 1, 2), F.lit(False))}
+    return df.groupBy(*keys).agg(*(F.count_if(k).alias(f"n_{n}") for n, k in kinds.items()), *(F.count_if(k & hit).alias(f"hit_{n}") for n, k in kinds.items()))
+
+
+def reference_endpoints(cell_area: float) -> dict[str, Column]:
+    """Areas and shares from reference_counts; a share of nothing is NULL."""
+    area = lambda n: F.col(n) * cell_area
+    return {
+        "predicted_on_water": area("hit_water"), "predicted_on_water_was_wet": area("hit_water_was_wet"), "predicted_on_water_was_dry": area("hit_water_was_dry"), "water_share": defined(F.col("hit_water"), F.col("n_water")), "water": area("n_water"),
+        "event_recall": defined(F.col("hit_event"), F.col("n_event")), "event_missed": area("n_event") - area("hit_event"), "event": area("n_event"), "land_false": area("hit_land"),
+        "land_false_rate": defined(F.col("hit_land"), F.col("n_land")), "land": area("n_land"), "predicted_on_unknown": area("hit_unknown"), "unknown": area("n_unknown"),
+    }
+
+
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Overall accuracy and Cohen's kappa of two class columns."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("_n"))

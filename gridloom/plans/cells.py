@@ -180,6 +180,52 @@ def weak_labels(df):
     return seen_counts(df).select("r", "c", D.weak_label(F.col("po"), F.col("pw"), F.col("wf"), F.col("ew"), F.col("tw"), F.col("t_"), need_peak=1).alias("label"))
 
 
+_LABEL_GATES = {"unobserved_negatives": 0.0, "no_positive": 0.0, "coverage": None, "prevalence": None, "confirmed_positives": None, "window_overlap": None, "most_positives_of_a_class": None, "coarse_difference": 0.02, "missing_tags": 0.0}
+_LABEL_TAGS = ("rule", "values", "kind", "cell", "peaks")
+
+
+@query("label_gates", f"""{_SEEN}, l AS (SELECT *, {_WEAK} AS y FROM a), k AS (SELECT count(*) FILTER (y = 1) AS n FROM l GROUP BY c % 7),
+m AS (SELECT count(*) FILTER (po + t_ = 0 AND y = 0)::DOUBLE AS unobserved_negatives, (count(*) FILTER (y = 1) = 0)::INT::DOUBLE AS no_positive, 100 * avg((po >= 1)::INT) AS coverage,
+count(*) FILTER (y = 1)::DOUBLE / greatest(count(*) FILTER (y IN (0, 1)), 1) AS prevalence, 100 * count(*) FILTER (y = 1 AND tw > 0) / nullif(count(*) FILTER (y = 1), 0)::DOUBLE AS confirmed_positives,
+count(*) FILTER (pw > 0 AND ew > 0) / nullif(count(*) FILTER (pw > 0 OR ew > 0), 0)::DOUBLE AS window_overlap, (SELECT max(n) FROM k)::DOUBLE AS most_positives_of_a_class,
+greatest(abs(4 * count(*) FILTER (y = 1 AND r % 2 = 0 AND c % 2 = 0) - count(*) FILTER (y = 1)) / nullif(count(*) FILTER (y = 1), 0)::DOUBLE, abs(4 * count(*) FILTER (y = 0 AND r % 2 = 0 AND c % 2 = 0) - count(*) FILTER (y = 0)) / nullif(count(*) FILTER (y = 0), 0)::DOUBLE) AS coarse_difference, 1::DOUBLE AS missing_tags FROM l),
+u AS (SELECT * FROM m UNPIVOT INCLUDE NULLS (measured FOR gate IN (COLUMNS(*))))
+SELECT gate, round(measured, 6) AS measured, CASE gate WHEN 'coarse_difference' THEN 0.02::DOUBLE WHEN 'unobserved_negatives' THEN 0 WHEN 'no_positive' THEN 0 WHEN 'missing_tags' THEN 0 END AS most,
+CASE WHEN measured IS NULL THEN 'INCOMPLETE' WHEN gate IN ('unobserved_negatives', 'no_positive', 'missing_tags') THEN CASE WHEN measured <= 0 THEN 'PASS' ELSE 'FAIL' END WHEN gate = 'coarse_difference' THEN CASE WHEN measured <= 0.02 THEN 'PASS' ELSE 'FAIL' END ELSE 'REPORTED' END AS status FROM u""", on="stack")
+def label_gates(df):
+    """Gates of the weak labels; the tags at hand lack one of those that are required. Components have queries of their own."""
+    from gridloom.operators.gates import bounded_gates
+
+    a = seen_counts(df)
+    y = D.weak_label(F.col("po"), F.col("pw"), F.col("wf"), F.col("ew"), F.col("tw"), F.col("t_"), need_peak=1)
+    one, none, even = F.col("y") == 1, F.col("y") == 0, (F.col("r") % 2 == 0) & (F.col("c") % 2 == 0)
+    parts = {
+        "bad": (F.col("po") + F.col("t_") == 0) & none, "pos": one, "neg": none, "seen": F.col("po") >= 1, "sure": one & (F.col("tw") > 0), "both": (F.col("pw") > 0) & (F.col("ew") > 0), "any": (F.col("pw") > 0) | (F.col("ew") > 0),
+        "pos4": one & even, "neg4": none & even,
+    }
+    by_class = a.withColumn("y", y).groupBy(F.col("c") % 7).agg(F.count("*").alias("n"), *(F.count_if(v).alias(k) for k, v in parts.items()))
+    t = by_class.agg(F.max("pos").alias("top"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in parts))
+    share = lambda x, of: F.when(F.col(of) > 0, F.col(x) / F.col(of))
+    off = lambda k: F.when(F.col(k) > 0, F.abs(4 * F.col(f"{k}4") - F.col(k)) / F.col(k))
+    have = ("rule", "values", "kind", "cell")
+    m = t.select(
+        F.col("bad").alias("unobserved_negatives"), (F.col("pos") == 0).cast("int").alias("no_positive"), (100 * share("seen", "n")).alias("coverage"), (F.col("pos") / F.greatest(F.col("pos") + F.col("neg"), F.lit(1))).alias("prevalence"),
+        (100 * share("sure", "pos")).alias("confirmed_positives"), share("both", "any").alias("window_overlap"), F.col("top").alias("most_positives_of_a_class"), F.greatest(off("pos"), off("neg")).alias("coarse_difference"), F.lit(len(set(_LABEL_TAGS) - set(have))).alias("missing_tags"),
+    )
+    return rounded(bounded_gates(m, _LABEL_GATES), "measured")
+
+
+_EVIDENCE = "CASE WHEN t >= 0.03 AND q > 25 THEN 'S2_WATER' WHEN t >= 0.03 AND r % 3 > 0 THEN 'S2_DRY' WHEN d < 0.06 THEN CASE WHEN q > 35 AND q / 50 > 0.3 THEN 'S1_WATER' WHEN q <= 35 AND c % 2 = 0 THEN 'S1_DRY' ELSE 'BLIND' END WHEN t >= 0.03 THEN 'BLIND' ELSE 'NONE' END"
+
+
+@query("day_states", f"WITH e AS (SELECT *, {_EVIDENCE} AS evidence, q / 50 AS p, (r + c) % 11 = 0 AS ref, d = 0.07 AS rec FROM cell_day), s AS (SELECT *, evidence LIKE '%WATER' OR evidence LIKE '%DRY' AS seen, p >= 0.8 OR (p <= 0.05 AND NOT (rec AND NOT ref)) AS sure FROM e) SELECT r, c, day, evidence, CASE WHEN seen THEN substr(evidence, 4) WHEN ref OR p >= 0.8 THEN 'WATER' WHEN sure THEN 'DRY' ELSE 'UNKNOWN' END AS state, CASE WHEN seen THEN 'EO_' || substr(evidence, 1, 2) WHEN ref THEN 'REFERENCE' WHEN sure AND c % 5 = 0 THEN 'MODEL_WEAK' WHEN sure THEN 'MODEL_STRONG' ELSE 'NONE' END AS source FROM s", on="cell_day")
+def day_states(df):
+    q = F.col("q")
+    evidence = D.day_evidence(F.col("t") >= 0.03, q > 25, F.col("r") % 3 == 0, F.col("d") < 0.06, q > 35, q / 50 > 0.3, F.col("c") % 2 == 0)
+    state = D.day_state(F.col("evidence"), q / 50, (F.col("r") + F.col("c")) % 11 == 0, F.col("d") == 0.07, F.col("c") % 5 == 0)
+    return df.select("r", "c", "day", "q", "d", evidence.alias("evidence")).withColumn("_s", state).select("r", "c", "day", "evidence", "_s.*")
+
+
 @query("combined_labels", f"{_SEEN}, l AS (SELECT *, {_WEAK} AS lab, CASE WHEN t_ % 4 = 3 THEN NULL ELSE t_ % 3 END AS m, ew > 0 AS rw FROM a) SELECT r, c, CASE WHEN rw AND m IS NOT NULL AND m <> 2 THEN NULL WHEN lab = 1 AND rw AND m = 2 THEN 1 WHEN lab = 0 AND coalesce(m <> 1, true) AND coalesce(m <> 2, true) THEN 0 END AS y FROM l", on="stack")
 def combined_labels(df):
     a = seen_counts(df)

@@ -97,6 +97,33 @@ def paired_bootstrap(spark, sf):
     return rounded(M.bootstrap(b, M.resample(spark, b, 200, "block"), "block", {"iou_gain": gain}), "low", "high")
 
 
+_REF_KINDS = {"water": "wc = 2", "water_was_wet": "wc = 2 AND ground % 2 = 1", "water_was_dry": "wc = 2 AND ground % 2 <> 1", "event": "wc = 1", "land": "wc = 0", "unknown": "wc > 2"}
+_REF = ", ".join([f"count(*) FILTER ({v}) AS n_{k}" for k, v in _REF_KINDS.items()] + [f"count(*) FILTER ({v} AND score >= 0.4) AS hit_{k}" for k, v in _REF_KINDS.items()])
+_REF_SHARES = {"water_share": ("hit_water", "n_water"), "event_recall": ("hit_event", "n_event"), "land_false_rate": ("hit_land", "n_land")}
+
+
+def _reference_counts(df):
+    block = (F.floor(F.col("r") / 8) * 100 + F.floor(F.col("c") / 8)).alias("block")
+    return M.reference_counts(df.select("*", block), F.col("score") >= 0.4, F.col("wc"), F.col("ground") % 2 == 1, ["block"])
+
+
+@query("reference_endpoints", f"WITH b AS (SELECT floor(r / 8) * 100 + floor(c / 8) AS block, {_REF} FROM cells GROUP BY ROLLUP (floor(r / 8) * 100 + floor(c / 8))) SELECT block::BIGINT AS block, " + ", ".join(f"round({x} * 0.0001::DOUBLE, 6) AS {k}" for k, x in {"predicted_on_water": "hit_water", "predicted_on_water_was_wet": "hit_water_was_wet", "predicted_on_water_was_dry": "hit_water_was_dry", "water": "n_water", "event_missed": "(n_event - hit_event)", "event": "n_event", "land_false": "hit_land", "land": "n_land", "predicted_on_unknown": "hit_unknown", "unknown": "n_unknown"}.items()) + ", " + ", ".join(f"round({a} / nullif({b}, 0)::DOUBLE, 6) AS {k}" for k, (a, b) in _REF_SHARES.items()) + " FROM b", on="cells")
+def reference_endpoints(df):
+    """Per block, and for all blocks in the row without one."""
+    b = _reference_counts(df)
+    counts = [c for c in b.columns if c != "block"]
+    ends = M.reference_endpoints(0.0001)
+    both = b.unionByName(b.agg(F.lit(None).cast("long").alias("block"), *(F.sum(c).alias(c) for c in counts)))
+    return rounded(both.select("block", *(v.alias(k) for k, v in ends.items())), *ends)
+
+
+@query("reference_intervals", f"WITH b AS (SELECT (floor(r / 8) * 100 + floor(c / 8))::BIGINT AS block, {_REF} FROM cells GROUP BY floor(r / 8) * 100 + floor(c / 8)), m AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS at_ FROM b), d AS (SELECT id // nb AS rep, {_LCG('id + 1')} % nb AS at_ FROM (SELECT unnest(range(0, 200 * (SELECT count(*) FROM b))) AS id), (SELECT count(*) AS nb FROM b)), s AS (SELECT rep, " + ", ".join(f"sum({x}) AS {x}" for v in _REF_SHARES.values() for x in v) + " FROM d JOIN m USING (at_) GROUP BY rep), v AS (" + " UNION ALL ".join(f"SELECT '{k}' AS statistic, {a} / nullif({b}, 0) AS value FROM s" for k, (a, b) in _REF_SHARES.items()) + ") SELECT statistic, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS n_defined FROM v GROUP BY statistic")
+def reference_intervals(spark, sf):
+    b = _reference_counts(fixture(spark, sf, "cells"))
+    shares = {k: M.defined(F.col(x), F.col(y)) for k, (x, y) in _REF_SHARES.items()}
+    return rounded(M.bootstrap(b, M.resample(spark, b, 200, "block"), "block", shares), "low", "high")
+
+
 @query("error_summary", "SELECT river, count(*) AS n, round(avg(h - 5), 6) AS bias, round(median(h - 5), 6) AS median, round(avg(abs(h - 5)), 6) AS mae, round(sqrt(avg((h - 5) ** 2)), 6) AS rmse FROM obs GROUP BY river", on="obs")
 def error_summary(df):
     return rounded(M.summary(df.withColumn("e", F.col("h") - 5), "e", ["river"]), "bias", "median", "mae", "rmse")

@@ -338,6 +338,19 @@ def first_valid_mosaic(df):
     return U.first_valid_mosaic(df, ["r", "c"], ["b04", "b08"], [F.col(k) for k in ("day", "scene", "line", "b04", "b08")], is_valid(F.col("scl"), F.col("b03")))
 
 
+@query("mosaic_seams", "WITH p AS (SELECT r, c, year(day) AS scene, max(vv) AS vv, max(vh) AS vh FROM sar GROUP BY ALL), v AS (SELECT r, c, scene, 10 * log10(greatest(vv, 1e-6)) AS db FROM p WHERE vv > 0 AND vh > 0), f AS (SELECT *, first_value(db) OVER (PARTITION BY r, c ORDER BY scene) AS base, min(scene) OVER (PARTITION BY r, c) AS first FROM v), m AS (SELECT scene, count(*) AS n, CASE WHEN count(*) > 100 THEN median(abs(db - base)) END AS seam FROM f WHERE scene > first GROUP BY scene) SELECT scene, n AS n_overlap, round(seam, 6) AS seam FROM m UNION ALL SELECT NULL, (sum(n) FILTER (seam IS NOT NULL))::BIGINT, round(median(seam), 6) FROM m", on="sar")
+def mosaic_seams(df):
+    """Each year's strongest returns as a scene."""
+    p = df.groupBy("r", "c", F.year("day").alias("scene")).agg(F.max("vv").alias("vv"), F.max("vh").alias("vh")).filter("vv > 0 AND vh > 0")
+    db = p.select("r", "c", "scene", (10 * F.log10(F.greatest(F.col("vv").cast("double"), F.lit(1e-6)))).alias("db"))
+    return rounded(U.mosaic_seams(db, ["r", "c"], "scene", "db", 100), "seam")
+
+
+@query("state_on_day", "WITH v AS (SELECT node, day, round(h, 6) AS h FROM node_day) SELECT node, min(day) AS created, bool_or(day <= DATE '2024-01-10') AS existed, arg_max(h, day) FILTER (day <= DATE '2024-01-10') AS state, bool_or(day <= DATE '2024-01-10') AND arg_max(h, day) FILTER (day <= DATE '2024-01-10') IS NOT DISTINCT FROM arg_max(h, day) AS same FROM v GROUP BY node", on="node_day")
+def state_on_day(df):
+    return U.state_on(df.select("node", "day", F.round("h", 6).alias("h")), ["node"], "day", "h", F.lit("2024-01-10").cast("date"))
+
+
 @query("last_paste", "WITH p AS (SELECT r, c, line, CASE WHEN max(b03) > 0.07 THEN NULL ELSE max(b03) END AS v FROM stack GROUP BY ALL) SELECT r, c, arg_max_null(v, line) AS pasted, arg_max(v, line) FILTER (v IS NOT NULL) AS labelled FROM p GROUP BY r, c", on="stack")
 def last_paste(df):
     p = df.groupBy("r", "c", "line").agg(F.max("b03").alias("v")).withColumn("v", F.when(~(F.col("v") > 0.07), F.col("v")))

@@ -77,3 +77,21 @@ def test_forest_finds_what_matters_and_is_uncertain_where_it_must_be(spark):
 
 def test_gates_and_features():
     assert G.kept_features(["TRACE_a", "b", "c_trace"], "^TRACE") == ["b", "c_trace"]
+
+
+def test_states_on_a_day(spark):
+    from gridloom.operators import dedup as U
+
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("b", 1, "x"), ("b", 3, "x"), ("c", 9, "z"), ("d", 1, None), ("d", 7, "w")], "k string, t int, v string")
+    s = U.state_on(df, ["k"], "t", "v", F.lit(4))
+    assert {r.k: (r.created, r.existed, r.state, r.same) for r in s.collect()} == {"a": (1, True, "x", False), "b": (1, True, "x", True), "c": (9, False, None, False), "d": (1, True, None, False)}
+    with pytest.raises(AssertionError, match="c"):
+        U.require_states(s, ["k"])
+    with pytest.raises(AssertionError, match="a"):
+        U.require_states(s.filter("k <> 'c'"), ["k"], current=True)
+    assert U.require_states(s.filter("k = 'b'"), ["k"], current=True).count() == 1
+
+
+def test_bounded_gates(spark):
+    m = spark.createDataFrame([(0, 0.5, None, 3.0)], "a int, b double, c double, d double")
+    assert [(r.gate, r.status) for r in G.bounded_gates(m, {"a": 0.0, "b": 0.02, "c": 1.0, "d": None}).collect()] == [("a", "PASS"), ("b", "FAIL"), ("c", "INCOMPLETE"), ("d", "REPORTED")]

@@ -304,14 +304,14 @@ def k_of_n(df):
 
 @query("linear_discriminant", "WITH s AS (SELECT dem < 24.5 AS w, avg(hand) AS a, avg(score) AS b, var_pop(hand) AS va, var_pop(score) AS vb, covar_pop(hand, score) AS ab, count(*) AS n FROM cells GROUP BY 1), p AS (SELECT x.a - y.a AS da, x.b - y.b AS db, (x.va * x.n + y.va * y.n) / (x.n + y.n) AS va, (x.vb * x.n + y.vb * y.n) / (x.n + y.n) AS vb, (x.ab * x.n + y.ab * y.n) / (x.n + y.n) AS ab FROM s x, s y WHERE x.w AND NOT y.w) SELECT round((vb * da - ab * db) / (va * vb - ab * ab), 6) AS w_hand, round((va * db - ab * da) / (va * vb - ab * ab), 6) AS w_score FROM p", on="cells")
 def linear_discriminant(df):
-    """Two-class, two-feature discriminant from one row of moments per class."""
+    """Two-class, two-feature discriminant from one row of moments per class; as in the SQL, no row where a class has no cell."""
     m = df.groupBy((F.col("dem") < 24.5).alias("w")).agg(F.avg("hand").alias("a"), F.avg("score").alias("b"), F.var_pop("hand").alias("va"), F.var_pop("score").alias("vb"), F.covar_pop("hand", "score").alias("ab"), F.count("*").alias("n"))
     one = lambda w: m.filter(F.col("w") == w).agg(*(F.max(c).alias(f"{c}_{int(w)}") for c in ("a", "b", "va", "vb", "ab", "n")))
-    p = one(True).crossJoin(one(False))  # one row on either side
+    p = one(True).crossJoin(one(False)).filter("n_1 IS NOT NULL AND n_0 IS NOT NULL")  # one row on either side
     pool = lambda k: (F.col(f"{k}_1") * F.col("n_1") + F.col(f"{k}_0") * F.col("n_0")) / (F.col("n_1") + F.col("n_0"))
     va, vb, ab, da, db = pool("va"), pool("vb"), pool("ab"), F.col("a_1") - F.col("a_0"), F.col("b_1") - F.col("b_0")
     det = va * vb - ab * ab
-    return rounded(p.select(((vb * da - ab * db) / det).alias("w_hand"), ((va * db - ab * da) / det).alias("w_score")), "w_hand", "w_score")
+    return rounded(p.select(F.try_divide(vb * da - ab * db, det).alias("w_hand"), F.try_divide(va * db - ab * da, det).alias("w_score")), "w_hand", "w_score")
 
 
 @query("scene_iou", "WITH s AS (SELECT DISTINCT line, r, c FROM stack WHERE b04 > 0.5), f AS (SELECT DISTINCT line, r, c FROM stack) SELECT a.line AS a, b.line AS b, count(*) FILTER (x.r IS NOT NULL AND y.r IS NOT NULL) AS inter, count(*) FILTER (x.r IS NOT NULL OR y.r IS NOT NULL) AS uni FROM f a JOIN f b ON a.r = b.r AND a.c = b.c AND a.line < b.line LEFT JOIN s x ON x.line = a.line AND x.r = a.r AND x.c = a.c LEFT JOIN s y ON y.line = b.line AND y.r = b.r AND y.c = b.c GROUP BY a.line, b.line", on="stack")

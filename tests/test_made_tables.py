@@ -33,3 +33,12 @@ def test_one_source_leaves_the_far_cells_without_a_distance(spark, tmp_path):
     one = "l_partkey % 40 = 0 AND l_suppkey % 40 = 0"
     rows = check(spark, "distance_transform", made(tmp_path, f"SELECT * REPLACE (CASE WHEN {one} THEN 1 ELSE l_quantity + 30 END AS l_quantity) FROM lineitem"))
     assert len(rows) == 400 and 0 < sum(r.distance is not None for r in rows) < 60
+
+
+def test_no_discriminant_without_both_classes(spark, tmp_path):
+    assert check(spark, "linear_discriminant", made(tmp_path, "SELECT * REPLACE (l_quantity + 30 AS l_quantity) FROM lineitem")) == []
+
+
+def test_discriminant_of_one_cell_a_class_is_undefined(spark, tmp_path):
+    two = "SELECT * REPLACE (l_partkey % 2 AS l_partkey, 0::BIGINT AS l_suppkey, 1.0::DOUBLE + 49 * (l_partkey % 2) AS l_quantity) FROM lineitem"
+    assert list(map(tuple, check(spark, "linear_discriminant", made(tmp_path, two)))) == [(None, None)]

@@ -3,20 +3,22 @@
 import os
 
 import duckdb
+import pytest
 
+from gridloom.operators.ordering import mean_in_order
 from gridloom.plans import catalog
 from gridloom.plans.registry import _TABLES
-from tests.test_oracle import SF, assert_same
+from tests.test_oracle import SF, _plain, assert_same
 
 
-def made(folder, lineitem):
+def made(folder, lineitem, options="FORMAT parquet"):
     """The smallest tables with another lineitem, given as a SELECT over `lineitem`."""
     for t in _TABLES:
         if t != "lineitem":
             os.symlink(f"{SF}/{t}.parquet", f"{folder}/{t}.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{SF}/lineitem.parquet')")
-    con.execute(f"COPY ({lineitem}) TO '{folder}/lineitem.parquet'")
+    con.execute(f"COPY ({lineitem}) TO '{folder}/lineitem.parquet' ({options})")
     return str(folder)
 
 
@@ -42,3 +44,26 @@ def test_no_discriminant_without_both_classes(spark, tmp_path):
 def test_discriminant_of_one_cell_a_class_is_undefined(spark, tmp_path):
     two = "SELECT * REPLACE (l_partkey % 2 AS l_partkey, 0::BIGINT AS l_suppkey, 1.0::DOUBLE + 49 * (l_partkey % 2) AS l_quantity) FROM lineitem"
     assert list(map(tuple, check(spark, "linear_discriminant", made(tmp_path, two)))) == [(None, None)]
+
+
+@pytest.mark.parametrize("name", ["reference_endpoints"])
+def test_scores_at_the_threshold_do_not_depend_on_tasks(spark, tmp_path, name):
+    """14 of 400 cells have a mean of exactly 0.04, which rounds up or down with the order of addition; one thread of the SQL adds row after row."""
+    sf = made(tmp_path, "SELECT lineitem.* FROM range(20), lineitem", "ROW_GROUP_SIZE 2048")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
+    want = con.sql(catalog.ORACLE_SQL[name])
+    rows = sorted(repr(tuple(map(_plain, r))) for r in want.fetchall())
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("20k", "128m"):
+            spark.conf.set(key, size)
+            df = catalog.QUERIES[name](spark, sf)
+            assert sorted(repr(tuple(map(_plain, r))) for r in df.select(*want.columns).collect()) == rows
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_mean_in_order_adds_one_value_after_the_other(spark):
+    df = spark.createDataFrame([("a", 3, -1e16), ("a", 1, 1.0), ("a", 4, 1.0), ("a", 2, 1e16), ("a", 5, None), ("b", 1, 2.0)], "k string, at int, v double").repartition(5)
+    assert {r.k: r.mean for r in mean_in_order(df, "v", ["k"], ["at"]).collect()} == {"a": 0.25, "b": 2.0}

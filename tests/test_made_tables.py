@@ -46,7 +46,7 @@ def test_discriminant_of_one_cell_a_class_is_undefined(spark, tmp_path):
     assert list(map(tuple, check(spark, "linear_discriminant", made(tmp_path, two)))) == [(None, None)]
 
 
-@pytest.mark.parametrize("name", ["reference_endpoints"])
+@pytest.mark.parametrize("name", ["reference_endpoints", "reference_intervals"])
 def test_scores_at_the_threshold_do_not_depend_on_tasks(spark, tmp_path, name):
     """14 of 400 cells have a mean of exactly 0.04, which rounds up or down with the order of addition; one thread of the SQL adds row after row."""
     sf = made(tmp_path, "SELECT lineitem.* FROM range(20), lineitem", "ROW_GROUP_SIZE 2048")

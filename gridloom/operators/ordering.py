@@ -68,10 +68,27 @@ def wide_median(df: DataFrame, value: str, keys, weight: str | None = None, out:
     return df.select(*keys).distinct().alias("g").join(found.alias("f"), same("g", "f"), "left").select(*(F.col(f"g.{k}") for k in keys), *result)
 
 
-def mean_in_order(df: DataFrame, value: str, keys, order: list[str], out: str = "mean") -> DataFrame:
+def file_pieces(df: DataFrame, parts: int, least: int, out: str = "_piece") -> DataFrame:
+    """df's rows, read from files, with file_path, row_index and the piece that each is in: consecutive rows of all files in the order of their
+    names, the parts-th part of them or `least` rows to a piece, whichever is more. What is counted and numbered is a row per file."""
+    rows = df.select("*", "_metadata.file_path", "_metadata.row_index")
+    files = rows.groupBy("file_path").agg(F.count("*").alias("_n"))
+    files = files.select(F.col("file_path").alias("_file"), (F.sum("_n").over(Window.orderBy("file_path")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    size = F.greatest(F.ceil(F.col("_all") / parts), F.lit(least))
+    met = rows.join(F.broadcast(files), F.col("file_path") == F.col("_file"))  # a row per file
+    return met.withColumn(out, F.floor((F.col("_before") + F.col("row_index")) / size)).drop("_file", "_before", "_all")
+
+
+def mean_in_order(df: DataFrame, value: str, keys, order: list[str], out: str = "mean", piece: str | None = None) -> DataFrame:
     """Mean of each group, its values added one after the other in an order of its own: the same double however the rows are dealt over tasks.
 
-    A group's values must fit one task, so it is meant for the groups whose mean lies at a threshold.
+    With a piece, the values of each piece are added up, then the pieces' sums in order. A group's values, or those of a piece, must fit one task,
+    so it is meant for the groups whose mean lies at a threshold.
     """
-    v = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x")))).alias("_v"))
-    return v.select(*keys, (F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["_x"]) / F.size("_v")).alias(out))
+    by = [*keys, *([piece] if piece else [])]
+    v = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x")))).alias("_v"))
+    s = v.select(*by, F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["_x"]).alias("_s"), F.size("_v").cast("long").alias("_n"))
+    if piece:
+        s = s.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(piece, "_s"))).alias("_v"), F.sum("_n").alias("_n"))
+        s = s.select(*keys, F.aggregate("_v", F.lit(0.0), lambda a, x: a + x["_s"]).alias("_s"), "_n")
+    return s.select(*keys, (F.col("_s") / F.col("_n")).alias(out))

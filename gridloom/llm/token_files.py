@@ -38,6 +38,9 @@ _NULL_ID = np.iinfo(np.int64).min
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 1 << 20
 
+#: Bytes of text that a worker encodes at a time; a longer text is encoded whole.
+PIECE = 1 << 18
+
 # The classes of the tokenizer's published pre-token pattern, and its contractions.
 _LETTER, _NUMBER, _SPACE, _OTHER, _ODD = range(5)
 _CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -187,6 +190,16 @@ def _with_end(ids: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray
     return np.insert(ids, off[1:], end_id), off + np.arange(len(off))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], coder: Encoder, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document ids, their numbers of ids and all their ids, some texts at a time."""
+    for batch in batches:
+        docs = batch.column(0).fill_null(int(_NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8")
+        buf, off = utf8(batch.column(1))
+        for i, j in pieces(off, PIECE):
+            out, at = _with_end(*coder.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i]), end_id)
+            yield docs[i:j], np.diff(at), out
+
+
 def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Write df's documents in ascending order of id and return the manifest with each part's base."""
     spark = df.sparkSession
@@ -199,14 +212,10 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str =
         sizes: list[np.ndarray] = []
 
         def encoded():
-            for batch in batches:
-                ids = batch.column(0).fill_null(int(_NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8")
-                buf, off = utf8(batch.column(1))
-                for i, j in pieces(off):
-                    out, at = _with_end(*coder.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i]), end_id)
-                    doc_ids.append(ids[i:j])
-                    sizes.append(np.diff(at))
-                    yield out.astype(dtype).tobytes()
+            for docs, size, out in _encoded(batches, coder, end_id):
+                doc_ids.append(docs)
+                sizes.append(size)
+                yield out.astype(dtype).tobytes()
 
         parts = encoded()
         head = next(parts, None)
@@ -224,7 +233,8 @@ def write_token_files(df: DataFrame, folder: str, tokenizer: str, id_col: str =
         yield pa.RecordBatch.from_pydict({"file": [name], "first_id": [int(docs[0])], "n_docs": [len(docs)], "n_ids": [int(offsets[-1])], "width": [coder.width]}, schema=pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
 
     # One small row per partition, so the driver can sum them; a part whose task ran twice is listed once.
-    parts = sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda r: r.first_id)
+    with shared.small_batches(spark):
+        parts = sorted(rows.mapInArrow(write, MANIFEST).collect(), key=lambda r: r.first_id)
     bases = np.concatenate([[0], np.cumsum([r.n_ids for r in parts], dtype=np.int64)])
     schema = f"{MANIFEST}, base long"
     manifest = [(r.file, r.first_id, r.n_docs, r.n_ids, r.width, int(b)) for r, b in zip(parts, bases, strict=False)]

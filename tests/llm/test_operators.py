@@ -1,11 +1,13 @@
 import hashlib
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -697,3 +699,17 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_hash_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_encoding_holds_a_piece_of_a_batch_at_a_time():
+    """8 MB of one batch: arrays of 1 MB pieces take some 55 MB, those of 256 KB some 15."""
+    coder = token_files.encoder(queries.tokenizer_path())
+    text = "Water stood in the fields for nine days, and 14 gauges said so. " * 16
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(8192), pa.int64()), "text": pa.array([text] * 8192)})
+    tracemalloc.start()
+    made = [(docs, size, len(out)) for docs, size, out in token_files._encoded(iter([batch]), coder, 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.concatenate([d for d, _, _ in made]).tolist() == list(range(8192))
+    assert set(np.concatenate([n for _, n, _ in made]).tolist()) == {len(coder.whole(text)) + 1} and sum(n for _, _, n in made) == 8192 * (len(coder.whole(text)) + 1)
+    assert peak < 30e6, peak
